@@ -22,7 +22,7 @@ from snapwarden.llm.storage import arrow_batches, materialise
 from snapwarden.llm.tokens import default_path, encoder
 
 #: Strings that control the template; inside texts and role names they are broken up.
-CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role:", "|>", "<|end|>")
+CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[END]")
 _control = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
 _escape = re.compile(r"\\([-+])")
 
@@ -45,7 +45,7 @@ def parts(role: str, text: str) -> tuple[str, str, str]:
         return "", body, "</s>"
     if role == "system":
         return "<<SYS>>", body, "<</SYS>>"
-    return f"<|role:{escape(role)}|>", body, "<|end|>"
+    return f"[ROLE]{escape(role)}[/ROLE]", body, "[END]"
 
 
 def parse(piece: str) -> tuple[str, str]:
@@ -54,8 +54,8 @@ def parse(piece: str) -> tuple[str, str]:
         return "user", unescape(piece[7:-8])
     if piece.startswith("<<SYS>>") and piece.endswith("<</SYS>>"):
         return "system", unescape(piece[7:-8])
-    if piece.startswith("<|role:") and piece.endswith("<|end|>"):
-        role, _, body = piece[7:-7].partition("|>")
+    if piece.startswith("[ROLE]") and piece.endswith("[END]"):
+        role, _, body = piece[6:-5].partition("[/ROLE]")
         return unescape(role), unescape(body)
     if piece.endswith("</s>"):
         return "assistant", unescape(piece[:-4])

@@ -9,12 +9,11 @@ must be in the window. The trained weights are a table of at most MAX_FEATURES r
 
 from __future__ import annotations
 
-import math
 import random
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -142,7 +141,11 @@ def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - WINDOW) / F.lit(STRIDE)).cast("int")))
     cut = bare.select("row", "paragraph", "words", F.explode(starts).alias("window")).select("row", "paragraph", "window", F.concat_ws(" ", F.slice("words", F.col("window") * STRIDE + 1, F.lit(WINDOW))).alias("body"))
     bodies = cut.select("body").distinct().withColumn("words", F.split("body", " "))
-    gram = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i, n=n: F.array_join(F.slice("words", i + 1, n), " ")) for n in (1, 2, 3)]
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+
+    gram = [grams_of(n) for n in (1, 2, 3)]
     found = bodies.select("body", F.explode(F.array_distinct(F.concat(*gram))).alias("gram"))
 
     columns = ", ".join(f"w{i} double" for i in range(len(names)))

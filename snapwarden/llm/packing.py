@@ -81,7 +81,7 @@ def _local_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _place(window: int, total: int):
-    """Pieces at their windows. Only remainders can cross a border; these carry their ids, so that their parts get checksums."""
+    """Pieces at their windows. Only remainders can cross a border, as the powers of two of at least a quantum come first; these carry their ids, so that their parts get checksums."""
     whole = total // window * window
     sizes, at, left = [], whole, total - whole
     for bit in reversed(range(window.bit_length())):
@@ -110,8 +110,8 @@ def _place(window: int, total: int):
                 while done < r["length"]:
                     k, first, end = home(r["offset"] + done)
                     size = min(end - r["offset"] - done, r["length"] - done)
-                    cut = r["ids"][4 * done : 4 * (done + size)]
-                    rows.append((r["key"], r["start"] + done, size, zlib.crc32(cut), r["doc_tokens"], k, r["offset"] + done - first, r["source"]))
+                    check = r["ids_crc32"] if size == r["length"] else zlib.crc32(r["ids"][4 * done : 4 * (done + size)])
+                    rows.append((r["key"], r["start"] + done, size, check, r["doc_tokens"], k, r["offset"] + done - first, r["source"]))
                     done += size
             if rows:
                 columns = list(zip(*rows, strict=True))
