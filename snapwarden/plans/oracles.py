@@ -26,16 +26,16 @@ def _cube(keys: list[str], where: str = "") -> str:
   FULL JOIN (SELECT {k}, true AS here, sum(dollar) AS dollar, sum(units) AS units FROM cur GROUP BY {k}) c ON {on}"""
 
 
-_SHOW = ", ".join(f"round({m}_{x}, 4) AS {m}_{x}" for m in ("dollar", "units") for x in ("previous", "current", "delta")) + ", " + ", ".join(f"round({m}_relative, 8) AS {m}_relative" for m in ("dollar", "units"))
+_SHOW = ", ".join(f"round({m}_{x}, 6) AS {m}_{x}" for m in ("dollar", "units") for x in ("previous", "current", "delta")) + ", " + ", ".join(f"round({m}_relative, 8) AS {m}_relative" for m in ("dollar", "units"))
 BASE_CUBE = "cube AS (" + _cube(["week", "store_id", "product_id"]) + ")"
 for _name, _keys in (("r1_revision_cube_base", ["week", "store_id", "product_id"]), ("r1_revision_cube_week", ["week"]), ("r2_revision_cube_headline", ["week", "banner_id", "state_id"])):
     say(_name, f"SELECT {', '.join(_keys)}, {_SHOW}, period FROM cube", f" cube AS ({_cube(_keys)})")
 say("r3_cube_summary", "SELECT round(sum(dollar_previous), 2) AS previous, round(sum(dollar_current), 2) AS current, round(sum(dollar_delta), 2) AS delta FROM cube WHERE period = 'overlap'", BASE_CUBE)
-say("a1_aggregate", "SELECT week, banner_id, state_id, round(sum(dollar), 4) AS dollar, sum(units) AS units, count(DISTINCT store_id) AS store_count, count(DISTINCT product_id) AS product_count FROM fact GROUP BY ALL")
+say("a1_aggregate", "SELECT week, banner_id, state_id, round(sum(dollar), 6) AS dollar, sum(units) AS units, count(DISTINCT store_id) AS store_count, count(DISTINCT product_id) AS product_count FROM fact GROUP BY ALL")
 say("a3_hierarchy_levels", """
 SELECT CASE WHEN grouping(state_id) = 0 AND grouping(commodity_id) = 0 THEN 'state_id_x_commodity_id' WHEN grouping(store_id) = 0 THEN 'store_id' WHEN grouping(product_id) = 0 THEN 'product_id'
             WHEN grouping(commodity_id) = 0 THEN 'commodity_id' WHEN grouping(banner_id) = 0 THEN 'banner_id' WHEN grouping(state_id) = 0 THEN 'state_id' ELSE 'national' END AS level,
-       week, store_id, product_id, commodity_id, banner_id, state_id, round(sum(dollar), 4) AS dollar, sum(units) AS units
+       week, store_id, product_id, commodity_id, banner_id, state_id, round(sum(dollar), 6) AS dollar, sum(units) AS units
 FROM cur GROUP BY GROUPING SETS ((week), (week, store_id), (week, product_id), (week, commodity_id), (week, banner_id), (week, state_id), (week, state_id, commodity_id))""")
 
 _TYPES = ("store", "product", "commodity", "banner", "state")
@@ -45,12 +45,12 @@ def _presence(name: str, source: str) -> str:
     return f"{name} AS (" + " UNION ALL ".join(f"SELECT '{t}' AS entity_type, {t}_id AS entity_id, week, sum(dollar) AS value, count(*) AS rows FROM {source} GROUP BY ALL" for t in _TYPES) + ")"
 
 
-say("a6_presence", 'SELECT entity_type, entity_id, week, round(value, 4) AS value, rows FROM x', _presence("x", "cur"))
+say("a6_presence", 'SELECT entity_type, entity_id, week, round(value, 6) AS value, rows FROM x', _presence("x", "cur"))
 say("a8_overlap_totals", """
 SELECT round(sum(dollar_delta), 2) AS raw_delta, round(sum(dollar_previous), 2) AS previous_total, round(sum(abs(dollar_delta)), 2) AS gross_delta,
        round(avg(CASE WHEN abs(dollar_delta) + abs(units_delta) > 1e-9 THEN 1.0 ELSE 0.0 END), 8) AS breadth, count(*) AS rows, sum(units_delta) AS units_delta FROM cube WHERE period = 'overlap'""", BASE_CUBE)
 say("a11_top_contributors", """
-SELECT store_id AS entity_id, round(d, 2) AS delta, round(abs(d), 2) AS abs_delta FROM (SELECT store_id, sum(dollar_delta) AS d FROM cube WHERE period = 'overlap' GROUP BY 1) ORDER BY abs(d) DESC, store_id LIMIT 10""", BASE_CUBE)
+SELECT store_id AS entity_id, round(d, 6) AS delta, round(abs(d), 6) AS abs_delta FROM (SELECT store_id, sum(dollar_delta) AS d FROM cube WHERE period = 'overlap' GROUP BY 1) ORDER BY abs(d) DESC, store_id LIMIT 10""", BASE_CUBE)
 say("a15_fingerprint", """
 SELECT count(*) AS rows, count(DISTINCT week) AS weeks, CAST(0 AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS duplicates, round(sum(dollar), 2) AS sum_dollar, sum(units) AS sum_units, count(DISTINCT store_id) AS distinct_store_id,
        count(DISTINCT product_id) AS distinct_product_id, count(DISTINCT commodity_id) AS distinct_commodity_id, count(DISTINCT banner_id) AS distinct_banner_id, count(DISTINCT state_id) AS distinct_state_id,
@@ -97,15 +97,15 @@ CHANGES = f"""
     CASE WHEN week_count_previous = 0 AND week_count_current > 0 THEN CASE WHEN n_added > 0 THEN 'NEW_ENTITY_HISTORICAL_BACKFILL' ELSE 'NEW_ENTITY_RECENT' END END,
     CASE WHEN week_count_previous > 0 AND week_count_current > 0 AND traded AND NOT trades AND n_recent >= 4 THEN 'LATEST_WEEK_MISSING' END,
     CASE WHEN week_count_previous > 0 AND week_count_current > 0 AND n_removed > 0 THEN 'ENTITY_HISTORY_TRUNCATED' END,
-    CASE WHEN week_count_previous > 0 AND week_count_current > 0 AND n_added > 0 THEN 'ENTITY_HISTORY_EXTENDED' END], x -> x IS NOT NULL) AS classes FROM seen),
+    CASE WHEN week_count_previous > 0 AND week_count_current > 0 AND n_added > 0 THEN 'ENTITY_HISTORY_EXTENDED' END], lambda x: x IS NOT NULL) AS classes FROM seen),
  period AS (SELECT sum(dollar) / 8 AS total FROM prev, bounds WHERE week BETWEEN o2 - 7 AND o2),
  changes AS (
   SELECT *, CASE WHEN list_contains(classes, 'LATEST_WEEK_MISSING') THEN recent_value / 8 ELSE 0 END AS expected_value, CASE WHEN list_contains(classes, 'LATEST_WEEK_MISSING') THEN total ELSE 0 END AS expected_period_total
   FROM classed, period WHERE len(classes) > 0)"""
 say("l1_entity_changes", """
 SELECT entity_type, entity_id, classes[1] AS classification, array_to_string(classes, ',') AS classes, first_week_previous, last_week_previous, first_week_current, last_week_current, week_count_previous, week_count_current,
-       rows_previous, rows_current, CAST(n_added AS INTEGER) AS n_added, CAST(n_removed AS INTEGER) AS n_removed, round(value_added, 4) AS historical_value_added, round(value_removed, 4) AS historical_value_removed,
-       round(expected_value, 4) AS expected_value, round(expected_period_total, 4) AS expected_period_total FROM changes""", CHANGES)
+       rows_previous, rows_current, CAST(n_added AS INTEGER) AS n_added, CAST(n_removed AS INTEGER) AS n_removed, round(value_added, 6) AS historical_value_added, round(value_removed, 6) AS historical_value_removed,
+       round(expected_value, 6) AS expected_value, round(expected_period_total, 6) AS expected_period_total FROM changes""", CHANGES)
 BASELINE = f"""
  pres AS (SELECT * FROM ({_presence("z", "prev")[6:-1]})),
  idx AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS i, sum(total) OVER (ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS window_total FROM (SELECT week, sum(dollar) AS total FROM prev GROUP BY 1)),
@@ -118,7 +118,7 @@ BASELINE = f"""
   FROM rolled JOIN idx USING (i) WHERE i >= greatest(9, (SELECT max(i) + 1 FROM idx) - 52) GROUP BY 1, 2)"""
 say("l3_absence_baseline", "SELECT entity_type, week, round(share, 8) AS share FROM shares", BASELINE)
 say("l4_missing_entity_impact", """
-SELECT entity_type, entities, round(lost, 4) AS expected_lost, round(total, 4) AS expected_period_total, round(lost / total, 8) AS share, round(0.001 * total, 4) AS threshold, n AS baseline_weeks, round(top, 8) AS baseline_max,
+SELECT entity_type, entities, round(lost, 6) AS expected_lost, round(total, 6) AS expected_period_total, round(lost / total, 8) AS share, round(0.001 * total, 6) AS threshold, n AS baseline_weeks, round(top, 8) AS baseline_max,
        lost > 0.001 * total AND lost / total > top AS material
 FROM (SELECT entity_type, count(*) AS entities, sum(abs(expected_value)) AS lost, max(expected_period_total) AS total FROM changes WHERE list_contains(classes, 'LATEST_WEEK_MISSING') GROUP BY 1)
 JOIN (SELECT entity_type, count(*) AS n, max(share) AS top FROM shares GROUP BY 1) USING (entity_type)""", CHANGES + "," + BASELINE)
@@ -147,10 +147,10 @@ SELECT entity_id, classes[1] AS classification, CASE WHEN classes[1] = 'ENTITY_H
 FROM changes LEFT JOIN (SELECT entity_type, entity_id, min(week) AS w1, max(week) AS w2 FROM marked WHERE over AND (p IS NULL) <> (c IS NULL) GROUP BY ALL) USING (entity_type, entity_id) WHERE entity_type = 'store'""", CHANGES)
 say("at2_week_revisions", """
 SELECT *, relative > tolerance AND abs(unexplained) > 0 AS material FROM (
-  SELECT week, round(previous, 2) AS previous, round(delta, 2) AS delta, round(e, 2) AS explained, round(delta - e, 2) AS unexplained, round(abs(delta - e) / abs(previous), 8) AS relative, false AS in_restatement_window, 0.005::DOUBLE AS tolerance
+  SELECT week, round(previous, 6) AS previous, round(delta, 6) AS delta, round(e, 6) AS explained, round(delta - e, 6) AS unexplained, round(abs(delta - e) / abs(previous), 8) AS relative, false AS in_restatement_window, 0.005::DOUBLE AS tolerance
   FROM (SELECT week, sum(dollar_previous) AS previous, sum(dollar_delta) AS delta FROM cube WHERE period = 'overlap' GROUP BY 1)
   LEFT JOIN (SELECT week, sum(CASE WHEN p IS NULL THEN c ELSE -p END) AS e FROM marked JOIN changes USING (entity_type, entity_id)
-             WHERE entity_type = 'store' AND classes[1] <> 'LATEST_WEEK_MISSING' AND marked.over AND (p IS NULL) <> (c IS NULL) GROUP BY 1) USING (week))""".replace("round(e, 2)", "round(coalesce(e, 0), 2)").replace("delta - e", "delta - coalesce(e, 0)"), CHANGES + "," + BASE_CUBE)
+             WHERE entity_type = 'store' AND classes[1] <> 'LATEST_WEEK_MISSING' AND marked.over AND (p IS NULL) <> (c IS NULL) GROUP BY 1) USING (week))""".replace("round(e, 6)", "round(coalesce(e, 0), 6)").replace("delta - e", "delta - coalesce(e, 0)"), CHANGES + "," + BASE_CUBE)
 say("at8_standing_closures", "SELECT 'store' AS entity_type, '7' AS entity_id, 'close-7' AS event_id WHERE NOT EXISTS (SELECT 1 FROM cur WHERE week = 357 AND store_id = '7')")
 say("at10_like_for_like", """
 SELECT coalesce(t, commodity_id) AS commodity_id, round(sum(dollar), 2) AS dollar, count(*) AS rows, 'previous' AS version FROM prev LEFT JOIN moved ON moved.product_id = prev.product_id AND f = commodity_id WHERE store_id NOT IN ('7', '57') GROUP BY 1
@@ -176,12 +176,12 @@ say("rc2_count_consistency", "SELECT count(*) FILTER (store_count <> n) AS misma
 say("rc3_marker_rows", """
 SELECT unnest(['state_id', 'banner_id', 'store_id', 'commodity_id', 'product_id']) AS "column", unnest([0, 0, 0, (SELECT count(*) FROM cur WHERE product_id LIKE '%00'), 0])::BIGINT AS marker_rows""")
 say("rc4_price_outliers", """
-SELECT week, round(ratio, 6) AS ratio, round(m, 6) AS median, round(0.6745 * (ratio - m) / mad, 4) AS robust_z FROM ratios, (SELECT m, median(abs(ratio - m)) AS mad FROM ref, (SELECT median(ratio) AS m FROM ref) GROUP BY m)
+SELECT week, round(ratio, 6) AS ratio, round(m, 6) AS median, round(0.6745 * (ratio - m) / mad, 6) AS robust_z FROM ratios, (SELECT m, median(abs(ratio - m)) AS mad FROM ref, (SELECT median(ratio) AS m FROM ref) GROUP BY m)
 WHERE week IN (356, 357) AND abs(0.6745 * (ratio - m) / mad) > 4""", """
  ratios AS (SELECT week, sum(dollar * CASE WHEN week >= 356 THEN 2 ELSE 1 END) / sum(units) AS ratio FROM cur GROUP BY 1), ref AS (SELECT ratio FROM ratios WHERE week < 356 ORDER BY week DESC LIMIT 52)""")
 say("a24_unit_value_by_week", "SELECT week, round(sum(dollar) / sum(units), 6) AS ratio FROM cur GROUP BY 1 HAVING sum(units) > 0")
-say("a25_median_and_mad", "SELECT banner_id, round(m, 4) AS median, round(median(abs(v - m)), 4) AS mad FROM weekly JOIN (SELECT banner_id, median(v) AS m FROM weekly GROUP BY 1) USING (banner_id) GROUP BY banner_id, m", " weekly AS (SELECT banner_id, week, sum(dollar) AS v FROM cur GROUP BY ALL)")
-say("a26_quantiles", "SELECT " + ", ".join(f"round(quantile_cont(v, {p}), 4) AS q{round(100 * p):02d}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM (SELECT week, sum(dollar) AS v FROM cur GROUP BY 1)")
+say("a25_median_and_mad", "SELECT banner_id, round(m, 6) AS median, round(median(abs(v - m)), 6) AS mad FROM weekly JOIN (SELECT banner_id, median(v) AS m FROM weekly GROUP BY 1) USING (banner_id) GROUP BY banner_id, m", " weekly AS (SELECT banner_id, week, sum(dollar) AS v FROM cur GROUP BY ALL)")
+say("a26_quantiles", "SELECT " + ", ".join(f"round(quantile_cont(v, {p}), 6) AS q{round(100 * p):02d}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM (SELECT week, sum(dollar) AS v FROM cur GROUP BY 1)")
 say("h1_hierarchy_deviations", " UNION ALL ".join(
     f"SELECT '{name}' AS level, '{m}' AS measure, (SELECT count(*) FROM (SELECT DISTINCT week, {', '.join(k)} FROM h WHERE {' OR '.join(x + ' IS NULL' for x in k)})) AS null_key_rows, 0.0::DOUBLE AS worst"
     for name, k in [*[(f"{t}_id", [f"{t}_id"]) for t in _TYPES], ("state_id_x_commodity_id", ["state_id", "commodity_id"])] for m in ("dollar", "units")
@@ -198,7 +198,7 @@ SELECT stage, position, round(sum(abs(rev - inherited)) / sum(scale), 8) AS incr
 say("ln2_divergence", "SELECT round(sum(abs(dollar_delta)) / abs(sum(dollar_previous)), 8) AS relative_divergence, (SELECT count(*) FROM cur WHERE week <= 356) - (SELECT count(*) FROM prev) AS row_count_delta FROM cube WHERE week <= 356", BASE_CUBE)
 say("rf1_reference", """
 SELECT 'dollar' AS measure, round(sum(d), 2) AS current_total, round(sum(r), 2) AS reference_total, round(max(abs(d - r) / greatest(abs(r), 1e-9)), 6) AS relative_delta, CAST(0 AS BIGINT) AS uncovered FROM g
-UNION ALL SELECT 'units', sum(u), sum(u), 0, 0 FROM g""", " g AS (SELECT week, banner_id, sum(dollar) AS d, sum(dollar) * CASE WHEN week = 77 THEN 1.02 ELSE 1.0 END AS r, sum(units) AS u FROM cur GROUP BY ALL)")
+UNION ALL SELECT 'units', sum(u), sum(u), 0, 0 FROM g""", " g AS (SELECT week, banner_id, sum(dollar) AS d, sum(dollar) * CASE WHEN week = 77 THEN 1.02 ELSE 1.0 END AS r, sum(units) AS u FROM cur GROUP BY week, banner_id)")
 
 
 def _series(name: str, source: str) -> str:
@@ -208,7 +208,7 @@ def _series(name: str, source: str) -> str:
 
 
 say("t1_dense_series", """
-SELECT metric, series_id, g.week, round(CASE WHEN metric = 'dollar' THEN dollar ELSE units END, 4) AS value, s.dollar IS NULL AS missing
+SELECT metric, series_id, g.week, round(CASE WHEN metric = 'dollar' THEN dollar ELSE units END, 6) AS value, s.dollar IS NULL AS missing
 FROM (SELECT DISTINCT series_id FROM s0) CROSS JOIN (SELECT unnest(range((SELECT min(week) FROM cur), (SELECT max(week) + 1 FROM cur)))::INTEGER AS week) g CROSS JOIN (SELECT unnest(['dollar', 'units']) AS metric) LEFT JOIN s0 s USING (series_id, week)""", _series("s0", "cur"))
 say("t2_seasonal_difference_scale", """
 SELECT series_id, round(1.4826 * median(abs(d - m)), 3) AS scale FROM diffs JOIN (SELECT series_id, median(d) AS m FROM diffs GROUP BY 1) USING (series_id) GROUP BY 1""", _series("s0", "prev") + """,
@@ -218,7 +218,7 @@ SELECT series_id, round((target - m) / CASE WHEN scale > 1e-12 THEN scale END, 6
 JOIN (SELECT series_id, dollar AS target FROM s0 WHERE week = 357) USING (series_id)"""
 say("t5_robust_z", _ROBUST.format(name="robust_z", least=1), _series("s0", "cur") + ", recent AS (SELECT series_id, dollar FROM s0 WHERE week < 357 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY week DESC) <= 13)")
 say("t6_seasonal_z", _ROBUST.format(name="seasonal_z", least=2), _series("s0", "cur") + ", recent AS (SELECT series_id, dollar FROM s0 WHERE week < 357 AND (357 - week) % 52 = 0)")
-say("t7_ewma_level", "SELECT series_id, round(list_reduce(list(dollar ORDER BY week), (a, x) -> a + (2.0 / 14)::DOUBLE * (x - a)), 3) AS level FROM s0 GROUP BY 1", _series("s0", "prev"))
+say("t7_ewma_level", "SELECT series_id, round(list_reduce(list(dollar ORDER BY week), lambda a, x: a + (2.0 / 14)::DOUBLE * (x - a)), 3) AS level FROM s0 GROUP BY 1", _series("s0", "prev"))
 _SHARES = ", shares AS (SELECT s0.series_id, s0.week, s0.dollar / n.dollar AS share FROM s0 JOIN s0 n ON n.series_id = 'national' AND n.week = s0.week WHERE s0.series_id <> 'national' AND n.dollar > 0)"
 say("t24_trailing_share_baseline", """
 SELECT series_id, round(avg(share), 10) AS mean, round(stddev_samp(share) * sqrt(1 + 1.0 / count(*)), 10) AS spread, count(*) AS n FROM (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY week DESC) <= 26) GROUP BY 1 HAVING count(*) >= 8""", _series("s0", "prev") + _SHARES)
@@ -230,10 +230,10 @@ SELECT store_id, round(p_value, 10) AS p_value, round(adjusted_p, 10) AS adjuste
     SELECT *, row_number() OVER (ORDER BY p_value, store_id) AS r, count(*) OVER () AS m FROM (
       SELECT store_id, (CAST(sum(units) AS BIGINT) * 7919 % 1000) / 1000.0::DOUBLE * CASE WHEN TRY_CAST(store_id AS INTEGER) % 7 = 0 THEN 0.001::DOUBLE ELSE 1 END AS p_value FROM cur GROUP BY 1)))""")
 say("t32_new_entity_adjustments", """
-SELECT metric, series_id, week, round(CASE WHEN metric = 'dollar' THEN dollar ELSE units END, 4) AS value FROM s1 CROSS JOIN (SELECT unnest(['dollar', 'units']) AS metric)""", CHANGES + """,
+SELECT metric, series_id, week, round(CASE WHEN metric = 'dollar' THEN dollar ELSE units END, 6) AS value FROM s1 CROSS JOIN (SELECT unnest(['dollar', 'units']) AS metric)""", CHANGES + """,
  fresh AS (SELECT entity_type, entity_id FROM changes WHERE classes[1] LIKE 'NEW_ENTITY%'),
  own AS (SELECT * FROM cur WHERE week = 357 AND (""" + " OR ".join(f"{t}_id IN (SELECT entity_id FROM fresh WHERE entity_type = '{t}')" for t in _TYPES) + "))," + _series("s1", "own"))
-say("p4_without_entities", "SELECT week, count(*) AS rows, round(sum(dollar), 4) AS dollar FROM cur WHERE store_id <> '7' AND commodity_id <> 'PROMO' GROUP BY 1")
+say("p4_without_entities", "SELECT week, count(*) AS rows, round(sum(dollar), 6) AS dollar FROM cur WHERE store_id <> '7' AND commodity_id <> 'PROMO' GROUP BY 1")
 say("u4_weeks_gained_and_lost", """
 SELECT entity_id, marked.week, CASE WHEN p IS NULL THEN 'added' ELSE 'removed' END AS how FROM marked JOIN changes USING (entity_type, entity_id) WHERE entity_type = 'store' AND marked.over AND (p IS NULL) <> (c IS NULL)""", CHANGES)
 say("u5_one_sided_ids", "(SELECT store_id, 'previous' AS side FROM prev EXCEPT SELECT store_id, 'previous' FROM cur) UNION ALL (SELECT store_id, 'current' FROM cur EXCEPT SELECT store_id, 'current' FROM prev)")
@@ -241,9 +241,9 @@ say("k7_worst_key", """
 SELECT week, banner_id, state_id, round(abs(dollar_delta), 2) AS worst FROM cube WHERE period = 'overlap' ORDER BY round(abs(dollar_delta), 2) DESC, week, banner_id, state_id LIMIT 1""", f" cube AS ({_cube(['week', 'banner_id', 'state_id'])})")
 ORACLES["s14_epoch_weeks"] = "SELECT CAST(floor(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) / 7.0) AS INTEGER) AS epoch_week, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"
 ORACLES["s17_wide_feed_to_weekly"] = """
-SELECT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS week, user_id, event_type, round(sum(value), 4) AS value FROM events
+SELECT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS week, user_id, event_type, round(sum(value), 6) AS value FROM events
 WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'logout') GROUP BY 1, 2, 3 HAVING sum(value) <> 0"""
 say("x7_real_absences", "SELECT store_id, min(week) AS first_week FROM cur WHERE store_id IN (SELECT store_id FROM prev WHERE week = 356 EXCEPT SELECT store_id FROM cur WHERE week = 357) GROUP BY 1")
 say("a21_effect_delta", " UNION ALL ".join(f"SELECT round(sum(dollar), 2) AS dollar, sum(units) AS units, count(*) AS rows, '{n}' AS version FROM {s} WHERE CAST(product_id AS INTEGER) % 97 = 3 AND week <= 340" for s, n in (("prev", "previous"), ("cur", "current"))))
 say("a23_split_effects", "SELECT commodity_id, round(sum(dollar * n), 2) AS dollar, sum(units * n) AS units FROM (SELECT *, -1 AS n FROM prev UNION ALL SELECT *, 1 FROM cur) GROUP BY 1")
-say("g5_report_stage", "SELECT week, banner_id, state_id, round(sum(dollar), 4) AS dollar, sum(units) AS units, count(DISTINCT store_id) AS store_count, count(DISTINCT product_id) AS product_count FROM cur GROUP BY ALL")
+say("g5_report_stage", "SELECT week, banner_id, state_id, round(sum(dollar), 6) AS dollar, sum(units) AS units, count(DISTINCT store_id) AS store_count, count(DISTINCT product_id) AS product_count FROM cur GROUP BY ALL")

@@ -43,7 +43,7 @@ def pair_of(previous: DataFrame, current: DataFrame) -> pairs.VersionPair:
 
 
 def _cube(df: DataFrame, previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    return rounded(df, **{f"{m}_{x}": 4 for m in ("dollar", "units") for x in ("previous", "current", "delta")}, **{f"{m}_relative": R8 for m in ("dollar", "units")})
+    return rounded(df, **{f"{m}_{x}": 6 for m in ("dollar", "units") for x in ("previous", "current", "delta")}, **{f"{m}_relative": R8 for m in ("dollar", "units")})
 
 
 # --- cubes
@@ -69,19 +69,19 @@ def r3_cube_summary(previous, current):
 
 @raw_query
 def a1_aggregate(spark, sf_dir):
-    return rounded(weekly_fact(spark, sf_dir).groupBy("week", "banner_id", "state_id").agg(F.sum("dollar").alias("dollar"), F.sum("units").alias("units"), F.count_distinct("store_id").alias("store_count"), F.count_distinct("product_id").alias("product_count")), dollar=4)
+    return rounded(weekly_fact(spark, sf_dir).groupBy("week", "banner_id", "state_id").agg(F.sum("dollar").alias("dollar"), F.sum("units").alias("units"), F.count_distinct("store_id").alias("store_count"), F.count_distinct("product_id").alias("product_count")), dollar=6)
 
 
 @query
 def a3_hierarchy_levels(previous, current):
     cells = checks.hierarchy(current, CONFIG, distinct=False)
     columns = ["store_id", "product_id", "commodity_id", "banner_id", "state_id"]
-    return rounded(cells.select("level", "week", *columns, "dollar", "units"), dollar=4)
+    return rounded(cells.select("level", "week", *columns, "dollar", "units"), dollar=6)
 
 
 @query
 def a6_presence(previous, current):
-    return rounded(lifecycle.presence(current, lifecycle.shared_entities(previous, current, CONFIG), CONFIG), value=4)
+    return rounded(lifecycle.presence(current, lifecycle.shared_entities(previous, current, CONFIG), CONFIG), value=6)
 
 
 @query
@@ -92,7 +92,7 @@ def a8_overlap_totals(previous, current):
 
 @query
 def a11_top_contributors(previous, current):
-    return rounded(cubes.contributors(cubes.revision_cube(previous, current, CONFIG.base_keys, CONFIG, [357]), "store_id", CONFIG), delta=2, abs_delta=2)
+    return rounded(cubes.contributors(cubes.revision_cube(previous, current, CONFIG.base_keys, CONFIG, [357]), "store_id", CONFIG), delta=6, abs_delta=6)
 
 
 @query
@@ -150,7 +150,7 @@ def v2_version_pair(previous, current):
 def l1_entity_changes(previous, current):
     e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG)
     shown = e.select("entity_type", "entity_id", "classification", F.array_join("classifications", ",").alias("classes"), "first_week_previous", "last_week_previous", "first_week_current", "last_week_current", "week_count_previous", "week_count_current", "rows_previous", "rows_current", F.size("historical_weeks_added").alias("n_added"), F.size("historical_weeks_removed").alias("n_removed"), "historical_value_added", "historical_value_removed", "expected_value", "expected_period_total")
-    return rounded(shown, historical_value_added=4, historical_value_removed=4, expected_value=4, expected_period_total=4)
+    return rounded(shown, historical_value_added=6, historical_value_removed=6, expected_value=6, expected_period_total=6)
 
 
 @query
@@ -162,7 +162,7 @@ def l3_absence_baseline(previous, current):
 def l4_missing_entity_impact(previous, current):
     e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG)
     got = lifecycle.missing_impact(e, CONFIG, lifecycle.absence_baseline(previous, CONFIG))
-    return rounded(got, expected_lost=4, expected_period_total=4, share=R8, threshold=4, baseline_max=R8)
+    return rounded(got, expected_lost=6, expected_period_total=6, share=R8, threshold=6, baseline_max=R8)
 
 
 @query
@@ -201,7 +201,7 @@ def at2_week_revisions(previous, current):
     cube = cubes.revision_cube(previous, current, CONFIG.base_keys, CONFIG, [357])
     e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG)
     got = attribution.week_revisions(cube, e, CONFIG, "store")
-    return rounded(got, previous=2, delta=2, explained=2, unexplained=2, relative=R8)
+    return rounded(got, previous=6, delta=6, explained=6, unexplained=6, relative=R8)
 
 
 @query
@@ -221,8 +221,8 @@ def at10_like_for_like(previous, current):
 @query
 def at1_explain_revision(previous, current):
     p = pair_of(previous, current)
-    e = lifecycle.all_events(previous, current, p, CONFIG)
-    m = attribution.match_approvals(e, _registry(current), CONFIG, p.current_max_week)
+    e = lifecycle.all_events(previous, current, p, CONFIG).persist()
+    m = attribution.match_approvals(e, _registry(current), CONFIG, p.current_max_week).persist()
     a = attribution.explain(cubes.revision_cube(previous, current, CONFIG.base_keys, CONFIG, [357]), m, CONFIG, attribution.explanation_type(e, CONFIG))
     names = ("raw_delta", "gross_delta", "explained_added", "explained_removed", "unexplained_delta")
     return current.sparkSession.createDataFrame([(*[round(a[n], 2) for n in names], round(a["explained_fraction"], 8), a["material"], a["structural"], a["unmatched"])], ", ".join(f"{n} double" for n in names) + ", explained_fraction double, material boolean, structural long, unmatched long")
@@ -262,7 +262,7 @@ def rc3_marker_rows(previous, current):
 @query
 def rc4_price_outliers(previous, current):
     odd = current.withColumn("dollar", F.when(F.col("week").isin(356, 357), F.col("dollar") * 2).otherwise(F.col("dollar")))
-    return rounded(checks.price_outliers(odd, CONFIG, [356, 357]), ratio=6, median=6, robust_z=4)
+    return rounded(checks.price_outliers(odd, CONFIG, [356, 357]), ratio=6, median=6, robust_z=6)
 
 
 @query
@@ -275,13 +275,13 @@ def a25_median_and_mad(previous, current):
     weekly = current.groupBy("banner_id", "week").agg(F.sum("dollar").alias("v"))
     middle = weekly.groupBy("banner_id").agg(F.median("v").alias("median"))
     out = weekly.join(middle, "banner_id").groupBy("banner_id").agg(F.first("median").alias("median"), F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    return rounded(out, median=4, mad=4)
+    return rounded(out, median=6, mad=6)
 
 
 @query
 def a26_quantiles(previous, current):
     weekly = current.groupBy("week").agg(F.sum("dollar").alias("v"))
-    return rounded(weekly.agg(*[F.percentile("v", p).alias(f"q{round(100 * p):02d}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]), **{f"q{k:02d}": 4 for k in (1, 5, 25, 50, 75, 95, 99)})
+    return rounded(weekly.agg(*[F.percentile("v", p).alias(f"q{round(100 * p):02d}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]), **{f"q{k:02d}": 6 for k in (1, 5, 25, 50, 75, 95, 99)})
 
 
 @query
@@ -296,15 +296,15 @@ def h2_national_shares(previous, current):
 
 
 def _stages(previous, current):
-    """Source without product faults, coded with moved categories, warehouse with everything."""
+    """A source, and a warehouse that adds a fault of its own to some products."""
     plain = lambda df: df.select("week", "store_id", "product_id", "units", "dollar")
-    old = current.where("week <= 356").withColumn("dollar", F.col("dollar") * F.when(F.col("product_id").endswith("42"), 1.25).otherwise(1.0))
-    return [("source", plain(previous), plain(current)), ("warehouse", previous, current.withColumn("dollar", F.col("dollar") * F.when(F.col("product_id").endswith("42") & (F.col("week") <= 356), 1.25).otherwise(1.0)))], old
+    bent = current.withColumn("dollar", F.col("dollar") * F.when(F.col("product_id").endswith("42") & (F.col("week") <= 356), 1.25).otherwise(1.0))
+    return [("source", plain(previous), plain(current)), ("warehouse", previous, bent)]
 
 
 @query
 def ln1_stage_increments(previous, current):
-    got = checks.stage_increments(_stages(previous, current)[0], F.col("week").between(1, 356), CONFIG)
+    got = checks.stage_increments(_stages(previous, current), F.col("week").between(1, 356), CONFIG)
     return rounded(got, increment=R8)
 
 
@@ -323,11 +323,7 @@ def rf1_reference(previous, current):
 # --- latest period
 @query
 def t1_dense_series(previous, current):
-    return rounded(series.dense_series(current, CONFIG, ["dollar", "units"]).where("series_id <> 'x'"), value=4)
-
-
-def _national(df):
-    return df.groupBy("week").agg(F.sum("dollar").alias("v"))
+    return rounded(series.dense_series(current, CONFIG, ["dollar", "units"]), value=6)
 
 
 @query
@@ -394,7 +390,7 @@ def t29_benjamini_hochberg(previous, current):
 def t32_new_entity_adjustments(previous, current):
     e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG)
     rows = series.new_entity_rows(current, e, CONFIG, [357])
-    return rounded(series.long_series(rows, CONFIG, ["dollar", "units"]), value=4)
+    return rounded(series.long_series(rows, CONFIG, ["dollar", "units"]), value=6)
 
 
 @query
@@ -417,7 +413,7 @@ def t34_latest_decision(previous, current):
 @query
 def p4_without_entities(previous, current):
     gone = current.sparkSession.createDataFrame([("store", "7"), ("commodity", "PROMO")], "entity_type string, entity_id string")
-    return rounded(attribution.without_entities(current, gone).groupBy("week").agg(F.count(F.lit(1)).alias("rows"), F.sum("dollar").alias("dollar")), dollar=4)
+    return rounded(attribution.without_entities(current, gone).groupBy("week").agg(F.count(F.lit(1)).alias("rows"), F.sum("dollar").alias("dollar")), dollar=6)
 
 
 @query
@@ -456,7 +452,7 @@ def s17_wide_feed_to_weekly(spark, sf_dir):
     kinds = ["view", "click", "purchase", "signup", "logout"]
     wide = ev.groupBy(day.alias("week"), "user_id").agg(*[F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)).alias(k) for k in kinds])
     long = wide.unpivot(["week", "user_id"], kinds, "event_type", "value")
-    return rounded(long.where("value <> 0"), value=4)
+    return rounded(long.where("value <> 0"), value=6)
 
 
 @query
@@ -481,4 +477,4 @@ def a23_split_effects(previous, current):
 
 @query
 def g5_report_stage(previous, current):
-    return rounded(checks.build_report(current, CONFIG), dollar=4)
+    return rounded(checks.build_report(current, CONFIG), dollar=6)

@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -359,7 +360,7 @@ def decide(found: DataFrame, config: DatasetConfig) -> DataFrame:
 
 
 def sensitivity(decided: DataFrame, config: DatasetConfig) -> list[dict[str, Any]]:
-    """Median fall that each level and measure could have shown, and the least sensitive leaf. One row per tested leaf comes to the driver's UDF-free arithmetic as a bounded report."""
+    """Median fall that each level and measure could have shown, and the least sensitive leaf. One row per level and measure comes to the driver."""
     family = decided.where("reason is null").count()
     size = 1.0 if not config.temporal_fdr_enabled else float(family)
     df = decided.where("share_tested and share_n > 1 and share_spread is not null")
@@ -374,4 +375,6 @@ def sensitivity(decided: DataFrame, config: DatasetConfig) -> list[dict[str, Any
 
 
 def assess_latest(previous: DataFrame, current: DataFrame, pair: VersionPair, events: DataFrame, config: DatasetConfig, metrics: Sequence[str] | None = None) -> DataFrame:
-    return decide(pool_intervals(evidence(previous, current, pair, events, config, metrics), config), config)
+    """Evidence, intervals and the decision. The evidence, one row per series and period, is kept: three plans read it."""
+    found = evidence(previous, current, pair, events, config, metrics).persist(StorageLevel.MEMORY_AND_DISK)
+    return decide(pool_intervals(found, config), config)
