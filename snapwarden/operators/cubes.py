@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapwarden.config import DatasetConfig
@@ -99,9 +99,9 @@ def overlap_totals(cube: DataFrame, config: DatasetConfig) -> DataFrame:
     m = config.primary_metric
     deltas = [c for c in cube.columns if c.endswith("_delta") and c[:-6] in config.metric_columns]
     touched = sum((F.coalesce(F.abs(F.col(c)), F.lit(0.0)) for c in deltas), F.lit(0.0))
-    last = F.max(config.week_column).over(Window.partitionBy(F.lit(1))) if any(c[:-6] in config.snapshot_metrics for c in deltas) else None
     over = cube.where("period = 'overlap'")
-    over = over.withColumn("_last", last) if last is not None else over
+    if any(c[:-6] in config.snapshot_metrics for c in deltas):  # stocks count in the last week only
+        over = over.crossJoin(F.broadcast(over.agg(F.max(config.week_column).alias("_last"))))
     per = [zero_sum(F.when(F.col(config.week_column) == F.col("_last"), F.col(c)) if c[:-6] in config.snapshot_metrics else F.col(c)).alias(f"per_{c[:-6]}") for c in deltas]
     return over.agg(
         zero_sum(f"{m}_delta").alias("raw_delta"), zero_sum(f"{m}_previous").alias("previous_total"), zero_sum(F.abs(F.col(f"{m}_delta"))).alias("gross_delta"),
