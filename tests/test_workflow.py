@@ -44,10 +44,10 @@ def test_generator_is_deterministic(spark):
 
 
 def rows(spark, weeks, dollar=100.0):
-    return spark.createDataFrame([(w, s, dollar + w % 5, 10.0) for w in range(1, weeks + 1) for s in ("A", "B")], "week int, store_id string, dollar double, units double")
+    return spark.createDataFrame([(w, s, dollar + w % 4, 10.0) for w in range(1, weeks + 1) for s in ("A", "B")], "week int, store_id string, dollar double, units double")
 
 
-PLAIN = replaced(DatasetConfig(), name="plain", metric_columns=("dollar", "units"), snapshot_metrics=(), entity_columns=("store_id",), entity_key_columns=("store_id",), report_grain=(), analysis_stage="fact", contract_stage="fact", count_entity_map=(), hierarchy_columns=(), hierarchy_intersections=(), temporal_entity_columns=("store_id",), pipeline_order=("fact",))
+PLAIN = replaced(DatasetConfig(), name="plain", metric_columns=("dollar", "units"), snapshot_metrics=(), entity_columns=("store_id",), entity_key_columns=("store_id",), report_grain=(), analysis_stage="fact", contract_stage="fact", stage_keys=(("fact", ("store_id",)),), count_entity_map=(), hierarchy_columns=(), hierarchy_intersections=(), temporal_entity_columns=("store_id",), pipeline_order=("fact",))
 
 
 @pytest.fixture(scope="module")
