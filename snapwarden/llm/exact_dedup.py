@@ -73,7 +73,8 @@ def exact_dedup(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     front = hashed.withColumn("p", _bit(F.col("digest"))).withColumn("bucket", F.expr(f"p div {BUCKET_BITS}")).join(F.broadcast(_filter(level)), "bucket")
     byte = F.conv(F.hex(F.expr(f"substring(bits, cast((p % {BUCKET_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hits = front.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0).select("digest", "id", "body")
-    stays = hits.join(level.where("n > 1").select("digest", "keep_id"), "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("kept_body"))
+    hits = materialise(hits.join(level.where("n > 1").select("digest", "keep_id"), "digest"), "lsm-hits")
+    stays = materialise(hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("body").alias("kept_body")).dropDuplicates(["digest"]), "lsm-stays")
     verified = materialise(hits.join(stays, "digest").select("digest", "id", (F.col("body") == F.col("kept_body")).alias("same"), F.when(F.col("body") != F.col("kept_body"), F.col("body")).alias("other")), "lsm-verified")
 
     # Digest collisions, none in practice: these rows leave the index group and are grouped by their text.
