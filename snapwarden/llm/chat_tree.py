@@ -74,44 +74,44 @@ _NODE_ARROW = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.i
 def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = encoder(path), TaskContext.get().partitionId()
-        fixed: dict[str, list[int]] = {}
         stack: list[dict] = []  # the nodes from the root to the last one
         count = emitted = 0
 
-        def tokens(text: str) -> list[int]:
-            ids, _ = own.ids(pa.array([text], pa.string()))
-            return ids.tolist()
-
         for batch in batches:
-            rows = []
+            rows, begun = [], []  # nodes of this batch, and what to encode for them
             for key, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 same = 0
                 while same < len(stack) and same < len(turns) and (stack[same]["role"], stack[same]["text"]) == (turns[same]["role"], turns[same]["text"]):
                     same += 1
                 del stack[same:]
                 for depth, turn in enumerate(turns[same:], same):
-                    before, body, behind = parts(turn["role"], turn["text"])
-                    for x in (before, behind):
-                        if x not in fixed and len(fixed) < 10_000:
-                            fixed[x] = tokens(x)
-                    head, mid, tail = (fixed[x] if x in fixed else tokens(x) for x in (before, body, behind))
-                    ids = head + mid + tail
-                    up = stack[-1] if stack else None
-                    spans = [] if up is None else [list(s) for s in up["attends"]]
-                    if up is not None:
-                        if spans and spans[-1][1] == up["start"]:
-                            spans[-1][1] = up["end"]
-                        else:
-                            spans.append([up["start"], up["end"]])
-                    position = 0 if up is None else up["position"] + up["end"] - up["start"]
-                    loss = turn["role"] == "assistant"
-                    rows.append([shard, count, None if up is None else up["node"], depth, before + body + behind, len(before) if loss else None, len(before) + len(body) if loss else None, ids, position, emitted, emitted + len(ids), [len(head), len(head) + len(mid)] if loss else [], spans, None])
-                    stack.append({"role": turn["role"], "text": turn["text"], "node": count, "attends": spans, "start": emitted, "end": emitted + len(ids), "position": position})
-                    count, emitted = count + 1, emitted + len(ids)
+                    begun += parts(turn["role"], turn["text"])
+                    node = {"role": turn["role"], "text": turn["text"], "node": count, "depth": depth, "up": stack[-1] if stack else None, "path": None}
+                    rows.append(node)
+                    stack.append(node)
+                    count += 1
                 if len(turns) > same:  # sorted and distinct, so a conversation always ends at a new node
-                    rows[-1][-1] = key
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_NODE_ARROW)], NODE.names)
+                    rows[-1]["path"] = key
+            if not rows:
+                continue
+            ids, ends = own.ids(pa.array(begun, pa.string()))  # one call for the whole batch
+            ids = ids.astype("int32")
+            out = []
+            for k, node in enumerate(rows):
+                before, body, behind = begun[3 * k : 3 * k + 3]
+                a, b, c, d = (int(x) for x in ends[3 * k : 3 * k + 4])
+                up, loss = node["up"], node["role"] == "assistant"
+                spans = [] if up is None else [list(s) for s in up["attends"]]
+                if up is not None:
+                    if spans and spans[-1][1] == up["start"]:
+                        spans[-1][1] = up["end"]
+                    else:
+                        spans.append([up["start"], up["end"]])
+                node |= {"attends": spans, "start": emitted, "end": emitted + d - a, "position": 0 if up is None else up["position"] + up["end"] - up["start"]}
+                out.append([shard, node["node"], None if up is None else up["node"], node["depth"], before + body + behind, len(before) if loss else None, len(before) + len(body) if loss else None, ids[a:d], node["position"], emitted, node["end"], [b - a, c - a] if loss else [], spans, node["path"]])
+                emitted = node["end"]
+                node["up"] = None  # a chain of parents must not outlive its batch
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_NODE_ARROW)], NODE.names)
 
     return run
 
