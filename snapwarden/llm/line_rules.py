@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapwarden.llm.storage import arrow_batches
-from snapwarden.llm.words import WORD, byte_slices, text_array
+from snapwarden.llm.words import WORD, byte_slices, text_array, tidied
 
 _words = re.compile(WORD).findall
 SYMBOLS = "#*$%&|<>"
@@ -107,4 +107,4 @@ def clean_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
                 columns = [pa.array([r[i] for r in rows], arrow[i]) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], [id_column, *names[:width]])
 
-    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
+    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(tidied(run), schema)

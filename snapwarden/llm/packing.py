@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from snapwarden.llm.storage import arrow_batches, materialise
 from snapwarden.llm.tokens import default_path, encoder
-from snapwarden.llm.words import byte_slices, text_array
+from snapwarden.llm.words import byte_slices, text_array, tidied
 
 _CUT = pa.schema([("part", pa.int32()), ("source", pa.string()), ("quantum", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PACKED = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
@@ -120,7 +120,7 @@ def _place(window: int, total: int):
     return run
 
 
-def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", window: int = 4096, quantum: int = 512, end_id: int = 2, path: str | None = None, weights: dict[str | None, float] | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
+def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", window: int = 4096, quantum: int = 512, end_id: int = 2, path: str | None = None, weights: dict[str | None, float] | None = None, batch_bytes: int = 2 << 20) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``weights``: target proportion by source; without it each source's share of all tokens, so that all queues end together.
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     kind = docs.schema[id_column].dataType
     types = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
     cut_schema = T.StructType([T.StructField("key", kind), *[T.StructField(f.name, types[f.type]) for f in _CUT]])
-    cut = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"), F.col(source_column).cast("string").alias("source")).mapInArrow(_cut_documents(quantum, end_id, path, batch_bytes), cut_schema)
+    cut = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"), F.col(source_column).cast("string").alias("source")).mapInArrow(tidied(_cut_documents(quantum, end_id, path, batch_bytes)), cut_schema)
     pieces = materialise(cut, "pack-pieces")
 
     # A full quantum's number in its source: quanta of earlier partitions come first.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapwarden.llm.storage import arrow_batches, materialise
-from snapwarden.llm.words import WORD, byte_slices, split_words, text_array
+from snapwarden.llm.words import WORD, byte_slices, split_words, text_array, tidied
 
 _words = re.compile(WORD).findall
 #: Frequent short words of English, German, French and Spanish.
@@ -149,7 +149,7 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], dims: int, roun
     return weights, bias
 
 
-def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", dims: int = 1 << 14, sample: int = 4000, threshold: float = 0.5, batch_bytes: int = 8 << 20, keep_columns: bool = False) -> DataFrame:
+def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", dims: int = 1 << 14, sample: int = 4000, threshold: float = 0.5, batch_bytes: int = 2 << 20, keep_columns: bool = False) -> DataFrame:
     """Per input row: id, n_words, posterior (of the labellers' pattern), score (of the scorer), kept (score >= threshold).
 
     ``sample`` bounds the documents that train the scorer: about so many by a hash of id and text, at most twice as many.
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
                 found[p] = found.get(p, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.int64())], ["pattern", "n"])
 
-    counted = base.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counted = base.select("text").mapInArrow(tidied(vote), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in sorted(counted)}
     model, total = fit_labels(counts), sum(counts.values())
 
@@ -185,7 +185,7 @@ def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
 
     part = min(1.0, sample / max(1, total))
     chosen = base.where(F.pmod(F.xxhash64("id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(1 << 30)) < int(part * (1 << 30))).select("text").limit(2 * sample)
-    got = chosen.mapInArrow(train, "columns array<int>, shares array<float>, label double").toArrow()
+    got = chosen.mapInArrow(tidied(train), "columns array<int>, shares array<float>, label double").toArrow()
     rows = list(zip(*[got[c].to_pylist() for c in ("columns", "shares", "label")], strict=True))
     weights, bias = fit_scorer(sorted(rows, key=lambda r: (r[2], len(r[0]), r[0][:8])), dims)
     weights = weights.astype(np.float32)
@@ -224,6 +224,6 @@ def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
         names = [f"c{i}" for i in range(len(docs.columns))] + [f.name for f in extra]
         named = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + extra)
         shown = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-        return shown.mapInArrow(score, named).toDF(*out.names)
+        return shown.mapInArrow(tidied(score), named).toDF(*out.names)
     names = [id_column, *[f.name for f in extra]]
-    return base.mapInArrow(score, T.StructType([T.StructField(id_column, kind), *extra]))
+    return base.mapInArrow(tidied(score), T.StructType([T.StructField(id_column, kind), *extra]))

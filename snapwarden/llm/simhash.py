@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from snapwarden.llm.components import components
 from snapwarden.llm.storage import arrow_batches, materialise
-from snapwarden.llm.words import byte_slices, text_array
+from snapwarden.llm.words import byte_slices, text_array, tidied
 
 BLOCKS = 6
 SEED = 42
@@ -153,7 +153,7 @@ def _bucket_links(k: int, n_pivots: int):
     return run
 
 
-def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, k: int = 3, n_pivots: int = 32, batch_bytes: int = 4 << 20) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, k: int = 3, n_pivots: int = 32, batch_bytes: int = 2 << 20) -> DataFrame:
     """Per input row: id, fingerprint (16 hex digits), component_id (smallest id that chains of links reach).
 
     A-Z count as lower case; a text of fewer words than a shingle is one shingle; a null, empty or blank text has
@@ -172,12 +172,12 @@ def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
             for a, b in byte_slices(texts, batch_bytes):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(fingerprints(texts.slice(a, b - a), words).view(np.int64))], ["id", "fp"])
 
-    rows = materialise(docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(run, schema), "simhash-rows")
+    rows = materialise(docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(tidied(run), schema), "simhash-rows")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bucket_masks(k)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)]))
     spread = nodes.select(keys.alias("k"), "fp").select("k.choice", "k.bits", "fp").repartition("choice", "bits").sortWithinPartitions("choice", "bits")
-    links = spread.mapInArrow(_bucket_links(k, n_pivots), "a long, b long")
+    links = spread.mapInArrow(tidied(_bucket_links(k, n_pivots)), "a long, b long")
     roots = components(links)
     grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))

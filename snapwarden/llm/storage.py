@@ -59,6 +59,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, max_bytes: int = 24 << 20) -> None:
+def arrow_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
     """Bound the bytes of the Arrow batches sent to Python: long texts then make shorter batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from snapwarden.llm.storage import arrow_batches
 from snapwarden.llm.tokens import default_path, encoder
-from snapwarden.llm.words import byte_slices, text_array
+from snapwarden.llm.words import byte_slices, text_array, tidied
 
 
-def count_tokens(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, limit: int = 2048, batch_bytes: int = 16 << 20, piece_chars: int = 4 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, limit: int = 2048, batch_bytes: int = 2 << 20, piece_chars: int = 4 << 20) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty: 0 bytes, 0 tokens, not over the limit. Null and repeated ids are kept, one row for each
@@ -37,4 +37,4 @@ def count_tokens(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
                 n = own.counts(part, piece_chars)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pc.cast(pc.binary_length(part), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
+    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(tidied(run), schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import string
 
 import numpy as np
@@ -42,7 +43,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Token ids of texts, exactly as the library gives them without begin, end or added special tokens."""
 
-    def __init__(self, path: str | None = None, memory: int = 900_000):
+    def __init__(self, path: str | None = None, memory: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.memory = path or default_path(), memory
         self.by_word = False
@@ -57,7 +58,9 @@ class Encoder:
             self.library = Tokenizer.from_file(self.path)
             self.whole = lambda texts: [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
             with open(self.path, encoding="utf-8") as f:
-                said = json.load(f)
+                head, model, rest = f.read().partition('"model"')
+            said = json.loads(f'{head.rstrip().rstrip(",")}}}') | {"model": {"end_of_word_suffix": "</w>" if re.search(r'"end_of_word_suffix":\s*"</w>"', rest[:2000]) else None}}
+            del head, model, rest  # the vocabulary as Python objects would be large
             steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
             self.by_word = steps[0].get("pattern") == {"Regex": _SPLIT} and bool(steps[0].get("invert")) and said["model"].get("end_of_word_suffix") == "</w>"
             alphabet = _byte_alphabet()
@@ -142,7 +145,8 @@ class Encoder:
         numbers, offsets = self._numbers(texts)
         lengths = self.lengths[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])
+        at = np.repeat((self.starts[numbers] - ends[:-1]).astype(np.int32), lengths)
+        at += np.arange(ends[-1], dtype=np.int32)  # a batch and the memory have far fewer than 2**31 ids
         return self.store[at], ends[offsets]
 
 
