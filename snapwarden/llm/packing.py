@@ -4,8 +4,9 @@ Each source is a queue of its documents' tokens, cut into quanta. Deficit round-
 after x of all quanta have gone out, a source of share p is owed x * p of them, so its m-th quantum is due at (m + 1/2) / p,
 and every window takes the quanta with the earliest due times. A source's deficit is thus below one quantum at any time and
 goes on from window to window and from partition to partition, as due times are global. A window holds a whole number of
-quanta, so no quantum is cut. What is left of each queue in each partition, less than a quantum, is served round-robin at
-the end; the last, partial window is cut into powers of two.
+quanta, so no quantum is cut. What is left of each queue in each partition, less than a quantum, is joined over the partitions into
+further quanta of the source; only what is left of the whole source, less than a quantum, is served round-robin at the end.
+The last, partial window is cut into powers of two.
 
 Tokens never leave the tokenizing task but for these remainders; the shuffles carry one short row for each piece.
 """
@@ -27,6 +28,8 @@ from snapwarden.llm.tokens import default_path, encoder
 from snapwarden.llm.words import byte_slices, text_array, tidied
 
 _CUT = pa.schema([("part", pa.int32()), ("source", pa.string()), ("quantum", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+#: Part of the quanta that are made of several partitions' remainders.
+LAST = 2**31 - 1
 _PACKED = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 
 
@@ -140,8 +143,17 @@ def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     cut = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"), F.col(source_column).cast("string").alias("source")).mapInArrow(tidied(_cut_documents(quantum, end_id, path, batch_bytes)), cut_schema)
     pieces = materialise(cut, "pack-pieces")
 
+    # The partitions' remainders of a source, one after another, are cut into quanta again, as those of a last partition.
+    columns = ["key", "part", "source", "quantum", "piece", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    line = Window.partitionBy("source").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    left = pieces.where("quantum < 0").withColumn("at", F.coalesce(F.sum("length").over(line), F.lit(0))).withColumn("all", F.sum("length").over(Window.partitionBy("source")))
+    left = left.withColumn("k", F.explode(F.expr(f"sequence(at div {quantum}, (at + length - 1) div {quantum})")))
+    left = left.withColumn("lo", F.greatest("at", F.col("k") * quantum)).withColumn("hi", F.least(F.col("at") + F.col("length"), (F.col("k") + 1) * quantum))
+    left = left.withColumn("ids", F.expr("substring(ids, cast(4 * (lo - at) + 1 as int), cast(4 * (hi - lo) as int))")).withColumn("whole", (F.col("k") + 1) * quantum <= F.col("all"))
+    left = materialise(left.select("key", F.lit(LAST).alias("part"), "source", F.col("k").alias("quantum"), F.col("lo").alias("piece"), (F.col("start") + F.col("lo") - F.col("at")).alias("start"), (F.col("hi") - F.col("lo")).alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.when(~F.col("whole"), F.col("ids")).alias("ids"), "whole"), "pack-left")
+
     # A full quantum's number in its source: quanta of earlier partitions come first.
-    full = pieces.where("quantum >= 0")
+    full = pieces.where("quantum >= 0").select(*columns).unionByName(left.where("whole").select(*columns))
     lots = full.groupBy("source", "part").agg(((F.max("quantum") + 1)).alias("quanta"))
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     lots = lots.withColumn("base", F.coalesce(F.sum("quanta").over(running), F.lit(0))).withColumn("all", F.sum("quanta").over(Window.partitionBy("source")))
@@ -153,8 +165,8 @@ def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
         share = F.coalesce(given, share)
     lots = lots.select(F.col("source").alias("s"), F.col("part").alias("p"), "base", share.alias("share"))
     due = (F.col("base") + F.col("quantum") + 0.5) / F.col("share")
-    timed = full.join(lots, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("key", "part", "source", "quantum", "piece", "start", "length", "ids_crc32", "doc_tokens", "ids", F.lit(0).alias("late"), due.alias("due"))
-    rest = pieces.where("quantum < 0").select("key", "part", "source", "quantum", "piece", "start", "length", "ids_crc32", "doc_tokens", "ids", F.lit(1).alias("late"), F.col("part").cast("double").alias("due"))
+    timed = full.join(lots, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(*columns, F.lit(0).alias("late"), due.alias("due"))
+    rest = left.where("not whole").select(*columns, F.lit(1).alias("late"), F.lit(0.0).alias("due"))
     keys = ["late", "due", "source", "part", "quantum", "piece"]
     order = timed.unionByName(rest).repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).select("key", "source", "start", "length", "ids_crc32", "doc_tokens", "ids")
     lanes = materialise(order.mapInArrow(_local_offsets, T.StructType([*order.schema.fields, T.StructField("lane", T.IntegerType()), T.StructField("local", T.LongType())])), "pack-order")
