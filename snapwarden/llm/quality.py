@@ -34,6 +34,7 @@ LABELLERS = ("symbols", "separators", "capitals", "repeats", "stop_words", "vari
 LIMITS = {"symbols": (1, 0.2, 0.03), "separators": (1, 0.15, 0.01), "capitals": (1, 0.5, 0.1), "repeats": (1, 0.25, 0.03), "stop_words": (-1, 0.05, 0.12), "variety": (-1, 0.2, 0.35), "exclamations": (1, 0.2, 0.02), "word_length": (1, 9.0, 7.0)}
 #: Fewest words on which a labeller votes, where one word is too few.
 LEAST = {"stop_words": 30, "variety": 20, "word_length": 10}
+VARIETY_WORDS = 200
 BAD, GOOD, NONE = 0, 1, 2
 
 
@@ -47,8 +48,14 @@ def statistics(text: str) -> tuple[int, ...] | tuple:
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     capital = sum(map(str.isupper, words))
     symbols = sum(map(text.count, "#*$%&<>"))
-    spaced = words[:: max(1, n // 200)]  # the share of distinct words falls with length, so a like number is compared
-    return n, symbols / n, text.count("|") / n, capital / n, same / n, stops / n, len(set(spaced)) / len(spaced), text.count("!!") / n, sum(map(len, words)) / n
+    return n, symbols / n, text.count("|") / n, capital / n, same / n, stops / n, variety(words), text.count("!!") / n, sum(map(len, words)) / n
+
+
+def variety(words: list[str]) -> float:
+    """Mean share of distinct words over consecutive windows of about VARIETY_WORDS; the share falls with length, so like numbers are compared."""
+    parts = max(1, len(words) // VARIETY_WORDS)
+    cuts = [len(words) * i // parts for i in range(parts + 1)]
+    return sum(len(set(words[a:b])) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False)) / parts
 
 
 def votes(stats: tuple) -> int:
