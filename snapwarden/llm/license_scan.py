@@ -50,8 +50,10 @@ OTHERS = (
     "He studied at MIT and later moved to the Mozilla office.",
     "All rights reserved.",
 )
-#: A paragraph without any of these strings, in lower case, has no features: it is unknown.
-ANCHORS = ("licen", "copyright", "permission", "redistribut", "public domain", "cc0", "proprietary", "spdx")
+#: A paragraph needs one of these strings to be read; the empty one is in all.
+ANCHORS = ("",)
+#: Words too common to tell that a window may hold a notice.
+COMMON = frozenset("a an and any as at by can for form free from general in is it license may no not of or part person public released source subject terms that the this to under use version with without work you".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -124,9 +126,27 @@ def templates() -> list[tuple[int, str, str, int]]:
     return out
 
 
+@cache
+def telling_words(overlap: float) -> tuple[str, ...]:
+    """Words of which any window with ``overlap`` of some template's n-grams has at least one: without them too many n-grams are lost."""
+    chosen: set[str] = set()
+    for texts in TEMPLATES.values():
+        for text in texts:
+            found = grams(words_of(text))
+            order = sorted(set(words_of(text)), key=lambda w: (w not in chosen, w in COMMON, len(w) < 3, -len(w), w))
+            kept: set[str] = set()
+            for w in order:
+                if sum(not kept & set(g.split()) for g in found) / len(found) < overlap:
+                    break
+                kept.add(w)
+            chosen |= kept
+    return tuple(sorted(chosen))
+
+
 def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.6, overlap: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """docs → (windows, rows). windows: row, paragraph, window, family, probability, template_overlap, confirmed, of each
-    window with an anchor; rows: row, id of all input rows.
+    window with one of the telling words (no other can be confirmed); rows: row, id, n_lines of all input rows. A run of
+    lines without a blank one between is read as one paragraph too, with a negative number, as notices may be wrapped.
 
     A family is confirmed where its probability reaches ``threshold`` and ``overlap`` of some template's n-grams are there.
     Null and empty texts have no windows. Windows are short, so no group grows with a text's length or a line's number of
@@ -135,11 +155,13 @@ def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     spark = docs.sparkSession
     names, weights, bias, heat = model()
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    anchored = lambda c: F.expr(" or ".join(f"contains({c}, '{a}')" for a in ANCHORS))
-    lines = base.where(anchored("lower(text)")).select("row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(anchored("lower(line)"))
-    bare = lines.select("row", "paragraph", F.filter(F.split(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words"))
+    plain = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    telling = F.array(*[F.lit(w) for w in telling_words(overlap)])
+    runs = F.split("text", r"\n[ \t\r]*(?=\n)")
+    read = F.concat(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), F.filter(F.transform(runs, lambda x, i: F.struct((-1 - i).alias("paragraph"), F.regexp_replace(x, r"^\n|\n$", "").alias("line"))), lambda p: F.contains(p["line"], F.lit("\n"))))
+    bare = base.select("row", F.explode(read).alias("p")).select("row", "p.paragraph", plain(F.col("p.line")).alias("words")).where(F.arrays_overlap("words", telling))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - WINDOW) / F.lit(STRIDE)).cast("int")))
-    cut = bare.select("row", "paragraph", "words", F.explode(starts).alias("window")).select("row", "paragraph", "window", F.concat_ws(" ", F.slice("words", F.col("window") * STRIDE + 1, F.lit(WINDOW))).alias("body"))
+    cut = bare.select("row", "paragraph", "words", F.explode(starts).alias("window")).select("row", "paragraph", "window", F.slice("words", F.col("window") * STRIDE + 1, F.lit(WINDOW)).alias("words")).where(F.arrays_overlap("words", telling)).select("row", "paragraph", "window", F.concat_ws(" ", "words").alias("body"))
     bodies = cut.select("body").distinct().withColumn("words", F.split("body", " "))
 
     def grams_of(n: int) -> Column:
@@ -160,12 +182,16 @@ def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     compared = found.join(marks, "gram").groupBy("body", "family", "template").agg((F.count(F.lit(1)) / F.first("n")).alias("part")).groupBy("body", "family").agg(F.max("part").alias("template_overlap"))
     judged = scored.join(compared, ["body", "family"], "left").select("body", "family", "probability", F.coalesce("template_overlap", F.lit(0.0)).alias("template_overlap"))
     judged = judged.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("probability") >= threshold) & (F.col("template_overlap") >= overlap))
-    return cut.join(judged, "body").drop("body"), base.select("row", "id")
+    return cut.join(judged, "body").drop("body"), base.select("row", "id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
 def document_licenses(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """Per input row: id, families (sorted, confirmed ones), n_paragraphs (with a confirmed family), n_unknown (paragraphs with an anchor and none), probability (largest of the confirmed, null without)."""
+    """Per input row: id, families (sorted, confirmed ones), n_paragraphs (lines with a confirmed family, and wrapped paragraphs with one that no line has), n_unknown (lines without), probability (largest of the confirmed, null without)."""
     windows, rows = scan_licenses(docs, id_column=id_column, **options)
-    per = windows.groupBy("row", "paragraph").agg(F.max("confirmed").alias("hit"), F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("f"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("p"))
-    per = per.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("f")))).alias("families"), F.count_if("hit").alias("n_paragraphs"), F.count_if(~F.col("hit")).alias("n_unknown"), F.max("p").alias("probability"))
-    return rows.join(per, "row", "left").select(F.col("id").alias(id_column), F.coalesce(F.array_join("families", ","), F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.round("probability", 6).alias("probability"))
+    hits = windows.where("confirmed").groupBy("row", "paragraph").agg(F.collect_set("family").alias("f"), F.max("probability").alias("p"))
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list(F.when(F.col("paragraph") >= 0, F.col("f")))).alias("lined"), F.max(F.when(F.col("paragraph") >= 0, F.col("p"))).alias("line_p"), F.count_if(F.col("paragraph") >= 0).alias("n_hits"), F.collect_list(F.when(F.col("paragraph") < 0, F.struct("f", "p"))).alias("wrapped"))
+    hits = hits.withColumn("wrapped", F.filter("wrapped", lambda x: F.size(F.array_except(x["f"], F.col("lined"))) > 0))
+    families = F.array_join(F.array_sort(F.array_distinct(F.concat("lined", F.flatten(F.col("wrapped.f"))))), ",")
+    probability = F.greatest("line_p", F.array_max(F.col("wrapped.p")))
+    per = hits.select("row", families.alias("families"), (F.col("n_hits") + F.size("wrapped")).alias("n_paragraphs"), "n_hits", probability.alias("probability"))
+    return rows.join(per, "row", "left").select(F.col("id").alias(id_column), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), (F.col("n_lines") - F.coalesce("n_hits", F.lit(0))).alias("n_unknown"), F.round("probability", 6).alias("probability"))
