@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapwarden.llm.storage import materialise
+from snapwarden.llm.storage import materialise, release
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links (a long, b long) → (node, root): each linked node with the smallest node that it can reach.
+    """links (a long, b long) → (node, root): each linked node with the smallest node that it can reach, the roots themselves left out.
 
     Every step is a minimum by node, summed before its shuffle, and a join, whose skewed nodes Spark splits; each round is
-    written to the shared folder. The number of rounds grows with the logarithm of the longest chain.
+    written to the shared folder and the one before is removed. The number of rounds grows with the logarithm of the longest chain.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
@@ -22,7 +22,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         small = large.join(low, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        stars = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        release(edges)
+        edges = stars
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -18,7 +18,13 @@ from snapwarden.llm.words import WORD, byte_slices, text_array, tidied
 _words = re.compile(WORD).findall
 SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture, in lower case.
-BOILERPLATE = ("enable javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "sign up for our newsletter", "subscribe to our", "click here to", "skip to content", "back to top")
+BOILERPLATE = (
+    "enable javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "sign up for our newsletter", "subscribe to our", "click here to", "skip to content", "back to top",
+    "datenschutzerklärung", "alle rechte vorbehalten", "zum newsletter anmelden", "zum seitenanfang", "politique de confidentialité", "tous droits réservés", "inscrivez-vous à notre", "haut de page", "política de privacidad",
+    "todos los derechos reservados", "suscríbete a nuestro", "volver arriba",
+)
+#: Marks that end or part sentences.
+MARKS = re.compile("[.!?…:;。！？؟]")
 
 
 @dataclass(frozen=True)
@@ -31,6 +37,7 @@ class LineRules:
     separators: int = 3
     separator_share: float = 0.15
     shout_words: int = 5
+    unmarked_words: int = 20
     repeat_words: int = 8
     distinct_share: float = 0.34
     max_loss: float = 0.6
@@ -48,6 +55,8 @@ def line_fault(line: str, words: list[str], seen: bool, rules: LineRules) -> str
         return "punctuation"
     if n >= rules.shout_words and line.isupper():
         return "punctuation"
+    if n >= rules.unmarked_words and not MARKS.search(line):
+        return "punctuation"
     if n >= rules.repeat_words and len(set(words)) < rules.distinct_share * n:
         return "boilerplate"
     if n <= 40 and any(p in line.lower() for p in BOILERPLATE):

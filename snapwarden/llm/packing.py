@@ -1,20 +1,23 @@
-"""Mixture-controlled packing of token streams into windows of fixed length.
+"""Mixture-controlled packing of token streams into windows of fixed length by deficit round-robin.
 
-Each source is a queue of its documents' tokens, cut into quanta. Deficit round-robin in its fluid form decides the order:
-after x of all quanta have gone out, a source of share p is owed x * p of them, so its m-th quantum is due at (m + 1/2) / p,
-and every window takes the quanta with the earliest due times. A source's deficit is thus below one quantum at any time and
-goes on from window to window and from partition to partition, as due times are global. A window holds a whole number of
-quanta, so no quantum is cut. What is left of each queue in each partition, less than a quantum, is joined over the partitions into
-further quanta of the source; only what is left of the whole source, less than a quantum, is served round-robin at the end.
-The last, partial window is cut into powers of two.
+Each source is a queue of its documents' tokens, in the order of partitions and rows. At each window every queue that has
+tokens left is owed its share of the window by weight. The queues are served in turn: one takes whole documents while its
+deficit lasts, overdrawn by at most ``slack``, or a part of a document where a deficit of ``least`` or more meets a longer
+one; what is left of the window goes to the queues that are owed most. Deficits go on from window to window.
 
-Tokens never leave the tokenizing task but for these remainders; the shuffles carry one short row for each piece.
+To run on many machines, the order is cut into lanes of ``lane_windows`` windows. Served by weight alone, without documents,
+a queue's token x goes out at time x / weight, and all tokens before that time are known from the queues' totals and
+weights. So a lane's part of each queue is a range of its tokens that a task finds by itself, a lane begins with every
+queue within a token of what it is owed, and round-robin inside the lane holds the deficits. What a lane has beyond whole
+windows, less than one, goes into further windows with what the next lanes have; only the last of these is shorter, and it
+is cut into powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,154 +30,287 @@ from snapwarden.llm.storage import arrow_batches, materialise
 from snapwarden.llm.tokens import default_path, encoder
 from snapwarden.llm.words import byte_slices, text_array, tidied
 
-_CUT = pa.schema([("part", pa.int32()), ("source", pa.string()), ("quantum", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-#: Part of the quanta that are made of several partitions' remainders.
-LAST = 2**31 - 1
-_PACKED = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+#: More sources than this share queues by a hash of their names, so the table of totals stays small.
+MAX_QUEUES = 65_536
+#: Lanes whose running totals are taken in one task.
+GROUP = 4096
+_SPARK = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
+_TOKENS = [("part", pa.int32()), ("source", pa.string()), ("local", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
+_CUT = [("source", pa.string()), ("queue", pa.int32()), ("lane", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
+_PLACED = [("source", pa.string()), ("lane", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
 
 
-def _cut_documents(quantum: int, end_id: int, path: str, batch_bytes: int):
+def _schema(kind: T.DataType, fields: list) -> T.StructType:
+    return T.StructType([T.StructField("key", kind), *[T.StructField(n, _SPARK[t]) for n, t in fields]])
+
+
+def _batch(rows: list[tuple], kind: pa.DataType, fields: list) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *[t for _, t in fields]], strict=True)], ["key", *[n for n, _ in fields]])
+
+
+def _tokenise(end_id: int, path: str, narrow: bool, batch_bytes: int):
+    """(key, source, text) → the documents' ids, with the place of each in its source's queue of this partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(path), TaskContext.get().partitionId()
-        filled: dict[str | None, int] = {}  # tokens in each queue so far
-        open_: dict[str | None, list[tuple]] = {}  # pieces of the quantum that isn't full yet
-        number, kind = 0, pa.null()
+        own, part, filled = encoder(path), TaskContext.get().partitionId(), {}
+        kind = np.dtype("<u2" if narrow else "<u4")
         for batch in batches:
-            kind = batch.column(0).type
-            keys, texts, sources = batch.column(0).to_pylist(), text_array(batch.column(1)), batch.column(2).to_pylist()
+            texts, sources = text_array(batch.column(2)), batch.column(1).to_pylist()
             for a, b in byte_slices(texts, batch_bytes):
                 tokens, ends = own.ids(texts.slice(a, b - a))
-                rows: list[tuple] = []
-                for i in range(b - a):
-                    ids = np.append(tokens[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4").tobytes()
-                    total, source, key = len(ids) // 4, sources[a + i], keys[a + i]
-                    at, start = filled.get(source, 0), 0
-                    waiting = open_.setdefault(source, [])
-                    while start < total:
-                        room = quantum - at % quantum
-                        n = min(room, total - start)
-                        cut = ids[4 * start : 4 * (start + n)]
-                        waiting.append((key, part, source, at // quantum, number, start, n, zlib.crc32(cut), total, cut))
-                        number, start, at = number + 1, start + n, at + n
-                        if at % quantum == 0:
-                            rows += [(*x[:-1], None) for x in waiting]
-                            waiting.clear()
-                    filled[source] = at
-                if rows:
-                    yield _batch(rows, batch.column(0).type)
-        if rest := [(*x[:3], -1, *x[4:]) for waiting in open_.values() for x in waiting]:
-            yield _batch(rest, kind)
+                sizes = np.diff(ends) + 1
+                stops = np.cumsum(sizes)
+                ids = np.full(int(stops[-1]), end_id, kind)
+                own_place = np.ones(len(ids), bool)
+                own_place[stops - 1] = False
+                ids[own_place] = tokens
+                offsets = np.concatenate([[0], stops * kind.itemsize]).astype(np.int32)
+                local = []
+                for source, n in zip(sources[a:b], sizes.tolist(), strict=True):
+                    local.append(filled.get(source, 0))
+                    filled[source] = local[-1] + n
+                blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), batch.column(1).slice(a, b - a), pa.array(local, pa.int64()), pa.array(sizes, pa.int64()), blobs], ["key", *[n for n, _ in _TOKENS]])
 
     return run
 
 
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, f.type) for c, f in zip(columns[1:], _CUT, strict=True)]], ["key", *_CUT.names])
-
-
-def _local_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's number and each piece's offset in the task's share of the order."""
-    part, total = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.column(batch.schema.get_field_index("length")).to_numpy()
-        at = total + np.cumsum(n) - n
-        total += int(n.sum())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(at, pa.int64())], [*batch.schema.names, "lane", "local"])
-
-
-def _place(window: int, total: int):
-    """Pieces at their windows. Only remainders can cross a border, as the powers of two of at least a quantum come first; these carry their ids, so that their parts get checksums."""
-    whole = total // window * window
-    sizes, at, left = [], whole, total - whole
-    for bit in reversed(range(window.bit_length())):
-        if left >> bit & 1:
-            sizes.append((at, at + (1 << bit)))
-            at += 1 << bit
-
-    def home(offset: int) -> tuple[int, int, int]:
-        """Sequence, its first token and its end."""
-        if offset < whole:
-            k = offset // window
-            return k, k * window, (k + 1) * window
-        return next((whole // window + i, a, b) for i, (a, b) in enumerate(sizes) if offset < b)
+@dataclass
+class Schedule:
+    """When queues of given totals and weights go out if each is served by its weight until it ends."""
+
+    totals: np.ndarray
+    weights: np.ndarray
+    lanes: int
+
+    def __post_init__(self) -> None:
+        self.ends = self.totals / self.weights
+        order = np.argsort(self.ends, kind="stable")
+        rates = np.cumsum(self.weights[order][::-1])[::-1]
+        times = self.ends[order]
+        steps = np.diff(np.concatenate([[0.0], times])) * rates
+        self.times, self.served = np.concatenate([[0.0], times]), np.concatenate([[0.0], np.cumsum(steps)])
+        self.all = int(self.totals.sum())
+
+    def border(self, lane: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """Tokens of the queue that go out before the lane."""
+        time = np.interp(np.asarray(lane, float) / self.lanes * self.served[-1], self.served, self.times)
+        before = np.minimum(np.floor(self.weights[queue] * time + 1e-9).astype(np.int64), self.totals[queue])
+        return np.where((np.asarray(lane) >= self.lanes) | (time >= self.ends[queue]), self.totals[queue], before)
+
+    def lane(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The lane of the queue's token."""
+        served = np.interp(at / self.weights[queue], self.times, self.served)
+        lane = np.clip((served / max(self.served[-1], 1e-300) * self.lanes).astype(np.int64), 0, self.lanes - 1)
+        while (early := self.border(lane, queue) > at).any():
+            lane = lane - early
+        while (late := self.border(lane + 1, queue) <= at).any():
+            lane = lane + late
+        return lane
+
+
+def _cut(plan: Schedule, narrow: bool):
+    """(key, source, queue, at, doc_tokens, ids) → documents' parts by lane."""
+    width = 2 if narrow else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            offset, n = col["offset"].to_numpy(), col["length"].to_numpy()
-            simple = (offset // window == (offset + n - 1) // window) & (offset < whole)
-            easy = batch.filter(pa.array(simple))
-            at = offset[simple]
-            yield pa.RecordBatch.from_arrays([*[easy.column(easy.schema.get_field_index(x)) for x in ("key", *_PACKED[:4])], pa.array(at // window), pa.array(at % window), easy.column(easy.schema.get_field_index("source"))], ["key", *_PACKED])
+            if not batch.num_rows:
+                continue
+            queue, at, size = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+            first, last = plan.lane(queue, at), plan.lane(queue, at + size - 1)
+            whole = first == last
+            easy, at_easy = batch.filter(pa.array(whole)), at[whole]
+            if easy.num_rows:
+                yield pa.RecordBatch.from_arrays([easy.column(0), easy.column(1), pa.array(queue[whole].astype(np.int32)), pa.array(first[whole]), pa.array(at_easy), pa.array(np.zeros(len(at_easy), np.int64)), easy.column(4), easy.column(5)], ["key", *[n for n, _ in _CUT]])
             rows = []
-            for r in batch.filter(pa.array(~simple)).to_pylist():
+            for i in np.flatnonzero(~whole).tolist():
+                q, x, n = int(queue[i]), int(at[i]), int(size[i])
+                key, source, ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(5)[i].as_buffer()
+                lanes = np.arange(first[i], last[i] + 1)
+                stops = np.minimum(plan.border(lanes + 1, np.full(len(lanes), q)), x + n) - x
                 done = 0
-                while done < r["length"]:
-                    k, first, end = home(r["offset"] + done)
-                    size = min(end - r["offset"] - done, r["length"] - done)
-                    check = r["ids_crc32"] if size == r["length"] else zlib.crc32(r["ids"][4 * done : 4 * (done + size)])
-                    rows.append((r["key"], r["start"] + done, size, check, r["doc_tokens"], k, r["offset"] + done - first, r["source"]))
-                    done += size
+                for lane, stop in zip(lanes.tolist(), stops.tolist(), strict=True):
+                    if stop > done:
+                        rows.append((key, source, q, lane, x + done, done, n, ids.slice(width * done, width * (stop - done)).to_pybytes()))
+                        done = stop
             if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], col["key"].type), *[pa.array(c, pa.int64()) for c in columns[1:7]], pa.array(columns[7], pa.string())], ["key", *_PACKED])
+                yield _batch(rows, batch.column(0).type, _CUT)
+
+    return run
+
+
+class _Lane:
+    """Deficit round-robin over the queues of one lane."""
+
+    def __init__(self, weights: np.ndarray, window: int, slack: int, least: int):
+        self.weights, self.window, self.slack, self.least = weights, window, slack, least
+
+    def fill(self, queues: dict[int, list[list]]) -> Iterator[list[list]]:
+        """queues: by number lists of [piece, first token, tokens left]. Gives each window's [piece, first, length], the part window last."""
+        owed = dict.fromkeys(sorted(queues), 0.0)
+        heads = {q: 0 for q in owed}
+        left = sum(p[2] for own in queues.values() for p in own)
+        turn = 0
+        while left:
+            room = size = min(self.window, left)
+            active = [q for q in owed if heads[q] < len(queues[q])]
+            weight, due = sum(self.weights[q] for q in active), size - sum(owed[q] for q in active)
+            for q in active:
+                owed[q] += due * self.weights[q] / weight
+            out: list[list] = []
+
+            def take(q: int, n: int) -> None:
+                piece = queues[q][heads[q]]
+                if out and out[-1][0] is piece[0] and out[-1][1] + out[-1][2] == piece[1]:
+                    out[-1][2] += n
+                else:
+                    out.append([piece[0], piece[1], n])
+                piece[1], piece[2] = piece[1] + n, piece[2] - n
+                owed[q] -= n
+                if not piece[2]:
+                    heads[q] += 1
+
+            first = turn % len(active)
+            for q in active[first:] + active[:first]:
+                while room and owed[q] >= 1 and heads[q] < len(queues[q]):
+                    n = queues[q][heads[q]][2]
+                    if n > owed[q] + self.slack:
+                        if owed[q] < self.least:
+                            break
+                        n = int(owed[q])
+                    n = min(n, room)
+                    take(q, n)
+                    room -= n
+            while room:
+                q = max((q for q in active if heads[q] < len(queues[q])), key=owed.__getitem__)
+                n = min(queues[q][heads[q]][2], room, max(int(owed[q]), 0) + self.slack)
+                take(q, n)
+                room -= n
+            left -= size
+            turn += 1
+            yield out
+
+
+def _place(weights: np.ndarray, window: int, slack: int, least: int, narrow: bool, with_ids: bool):
+    """Sorted parts of lanes → pieces at their windows. Number -1: beyond the lane's whole windows, with ids of 4 bytes."""
+    width, server = 2 if narrow else 4, _Lane(weights, window, slack, least)
+
+    def lane_rows(lane: int, held: list[tuple]) -> list[tuple]:
+        queues: dict[int, list[list]] = {}
+        for r in held:
+            queues.setdefault(r[2], []).append([r, 0, len(r[7]) // width])
+        rows = []
+        for number, pieces in enumerate(server.fill(queues)):
+            whole, offset = sum(p[2] for p in pieces) == window, 0
+            for r, first, n in pieces:
+                ids = r[7][width * first : width * (first + n)]
+                ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes() if narrow else ids
+                rows.append((r[0], r[1], lane, number if whole else -1, r[5] + first, n, r[6], offset, zlib.crc32(ids), ids if with_ids or not whole else None))
+                offset += n
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, held, kind = None, [], pa.null()
+        for batch in batches:
+            kind = batch.column(0).type
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r[3] != lane:
+                    if held:
+                        yield _batch(lane_rows(lane, held), kind, _PLACED)
+                    lane, held = r[3], []
+                held.append(r)
+        if held:
+            yield _batch(lane_rows(lane, held), kind, _PLACED)
 
     return run
 
 
-def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", window: int = 4096, quantum: int = 512, end_id: int = 2, path: str | None = None, weights: dict[str | None, float] | None = None, batch_bytes: int = 2 << 20) -> DataFrame:
-    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+def _before(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """table (lane, columns) with the sum of each column over the lanes before. Groups of lanes first, so no task sees all lanes."""
+    grouped = table.withColumn("g", F.expr(f"lane div {GROUP}"))
+    line = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row for GROUP lanes
+    heads = grouped.groupBy("g").agg(*[F.sum(c).alias(c) for c in columns]).select(F.col("g").alias("hg"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"h_{c}") for c in columns])
+    own = Window.partitionBy("g").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    inner = grouped.select("lane", "g", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"i_{c}") for c in columns])
+    return inner.join(heads, F.col("g") == F.col("hg")).select("lane", *[(F.col(f"h_{c}") + F.col(f"i_{c}")).alias(f"before_{c}") for c in columns])
+
+
+def _shares(names: list, totals: list[int], weights: Sequence[float] | Mapping[str | None, float] | None) -> np.ndarray:
+    if weights is None:
+        return np.array(totals, float)
+    if isinstance(weights, Mapping):
+        out = np.array([float(weights.get(n, 1.0)) for n in names])
+    else:
+        out = np.array([float(weights[i % len(weights)]) for i in range(len(names))])
+    if not (out > 0).all():
+        raise ValueError("weights must be above 0")
+    return out
+
+
+def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", window: int = 4096, end_id: int = 2, path: str | None = None, weights: Sequence[float] | Mapping[str | None, float] | None = None, slack: int | None = None, least: int | None = None, lane_windows: int = 64, with_ids: bool = False, batch_bytes: int = 2 << 20) -> DataFrame:
+    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and with ``with_ids`` its ids (4 bytes each, little-endian).
+
+    ``weights``: target proportion by source; a sequence is dealt to the sources by code point, null last, again and again;
+    a mapping leaves 1 for sources that it lacks; without weights each source has its share of all tokens, so that all
+    queues end together. A source with a larger weight than its share ends early, the others go on in their proportions;
+    none is left out. In a window a source is off its target by at most ``slack`` + ``least`` tokens (1/16 and 1/32 of the
+    window if not given) and what single documents of other sources leave; the last windows hold what the lanes left.
 
-    ``weights``: target proportion by source; without it each source's share of all tokens, so that all queues end together.
-    A source with a larger weight than its share ends early, the others go on in their proportions; none is left out.
     A null text is an empty one and gives the end id alone; a null source is a source of its own; repeated rows are packed
     as often as they come; null ids are kept. Other columns don't matter. An empty table gives no rows. A very long text
-    goes through many windows. The number of sources may grow: totals by source stay in tables.
+    goes through many windows. Over MAX_QUEUES sources share queues by a hash. The same files give the same result.
     """
-    if window % quantum or window & (window - 1):
-        raise ValueError("window must be a power of two and a multiple of quantum")
+    if window < 2 or window & (window - 1):
+        raise ValueError("window must be a power of two")
     spark = docs.sparkSession
     arrow_batches(spark)
-    path = path or default_path()
+    path, slack, least = path or default_path(), slack or max(window // 16, 1), least or max(window // 32, 1)
+    narrow = max(encoder(path).size, end_id + 1) <= 1 << 16
     kind = docs.schema[id_column].dataType
-    types = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
-    cut_schema = T.StructType([T.StructField("key", kind), *[T.StructField(f.name, types[f.type]) for f in _CUT]])
-    cut = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"), F.col(source_column).cast("string").alias("source")).mapInArrow(tidied(_cut_documents(quantum, end_id, path, batch_bytes)), cut_schema)
-    pieces = materialise(cut, "pack-pieces")
-
-    # The partitions' remainders of a source, one after another, are cut into quanta again, as those of a last partition.
-    columns = ["key", "part", "source", "quantum", "piece", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-    line = Window.partitionBy("source").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    left = pieces.where("quantum < 0").withColumn("at", F.coalesce(F.sum("length").over(line), F.lit(0))).withColumn("all", F.sum("length").over(Window.partitionBy("source")))
-    left = left.withColumn("k", F.explode(F.expr(f"sequence(at div {quantum}, (at + length - 1) div {quantum})")))
-    left = left.withColumn("lo", F.greatest("at", F.col("k") * quantum)).withColumn("hi", F.least(F.col("at") + F.col("length"), (F.col("k") + 1) * quantum))
-    left = left.withColumn("ids", F.expr("substring(ids, cast(4 * (lo - at) + 1 as int), cast(4 * (hi - lo) as int))")).withColumn("whole", (F.col("k") + 1) * quantum <= F.col("all"))
-    left = materialise(left.select("key", F.lit(LAST).alias("part"), "source", F.col("k").alias("quantum"), F.col("lo").alias("piece"), (F.col("start") + F.col("lo") - F.col("at")).alias("start"), (F.col("hi") - F.col("lo")).alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.when(~F.col("whole"), F.col("ids")).alias("ids"), "whole"), "pack-left")
-
-    # A full quantum's number in its source: quanta of earlier partitions come first.
-    full = pieces.where("quantum >= 0").select(*columns).unionByName(left.where("whole").select(*columns))
-    lots = full.groupBy("source", "part").agg(((F.max("quantum") + 1)).alias("quanta"))
-    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    lots = lots.withColumn("base", F.coalesce(F.sum("quanta").over(running), F.lit(0))).withColumn("all", F.sum("quanta").over(Window.partitionBy("source")))
-    share = F.col("all").cast("double")
-    if weights:
-        given = F.lit(None).cast("double")
-        for source, w in weights.items():
-            given = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(w))).otherwise(given)
-        share = F.coalesce(given, share)
-    lots = lots.select(F.col("source").alias("s"), F.col("part").alias("p"), "base", share.alias("share"))
-    due = (F.col("base") + F.col("quantum") + 0.5) / F.col("share")
-    timed = full.join(lots, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(*columns, F.lit(0).alias("late"), due.alias("due"))
-    rest = left.where("not whole").select(*columns, F.lit(1).alias("late"), F.lit(0.0).alias("due"))
-    keys = ["late", "due", "source", "part", "quantum", "piece"]
-    order = timed.unionByName(rest).repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).select("key", "source", "start", "length", "ids_crc32", "doc_tokens", "ids")
-    lanes = materialise(order.mapInArrow(_local_offsets, T.StructType([*order.schema.fields, T.StructField("lane", T.IntegerType()), T.StructField("local", T.LongType())])), "pack-order")
-
-    # One row for each lane: where it begins in the whole order.
-    totals = lanes.groupBy("lane").agg(F.sum("length").alias("n"))
-    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    begins = totals.select(F.col("lane").alias("l"), F.coalesce(F.sum("n").over(Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = lanes.join(begins, F.col("lane") == F.col("l")).select("key", "source", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("before") + F.col("local")).alias("offset"))
-    out = T.StructType([T.StructField("key", kind), *[T.StructField(x, T.LongType()) for x in _PACKED[:-1]], T.StructField("source", T.StringType())])
-    return placed.mapInArrow(_place(window, total), out).withColumnRenamed("key", id_column)
+    given = docs.select(F.col(id_column).alias("key"), F.col(source_column).cast("string").alias("source"), F.col(text_column).cast("string").alias("text"))
+    tokens = materialise(given.mapInArrow(tidied(_tokenise(end_id, path, narrow, batch_bytes)), _schema(kind, _TOKENS)), "pack-tokens")
+
+    # Totals of the queues, and where each partition's tokens begin in them.
+    lots = tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n"))
+    sums = lots.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.asc_nulls_last("source")).limit(MAX_QUEUES + 1).collect()
+    if len(sums) > MAX_QUEUES:
+        lots = lots.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int"))
+        by = {r["queue"]: r["n"] for r in lots.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+        names, totals = [*range(MAX_QUEUES)], [by.get(q, 0) for q in range(MAX_QUEUES)]
+    else:
+        names, totals = [r["source"] for r in sums], [r["n"] for r in sums]
+        numbers = F.broadcast(spark.createDataFrame([*zip(names, range(len(names)), strict=True)], "s string, queue int"))
+        lots = lots.join(numbers, F.col("source").eqNullSafe(F.col("s")))
+    if not sums:
+        totals, names = [0], [None]
+    shares = np.maximum(_shares(names, totals, weights), 1e-9)
+    plan = Schedule(np.array(totals, np.int64), shares, max(1, round(sum(totals) / (window * lane_windows))))
+    line = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    bases = lots.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
+    queued = tokens.join(bases, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("key", "source", "queue", (F.col("base") + F.col("local")).alias("at"), "doc_tokens", "ids")
+
+    cut = queued.mapInArrow(tidied(_cut(plan, narrow)), _schema(kind, _CUT))
+    lanes = cut.repartition("lane").sortWithinPartitions("lane", "queue", "at")
+    placed = materialise(lanes.mapInArrow(tidied(_place(plan.weights, window, slack, least, narrow, with_ids)), _schema(kind, _PLACED)), "pack-placed")
+
+    # Numbers of the lanes' windows, and the windows made of what lanes have left.
+    per = placed.groupBy("lane").agg((F.coalesce(F.max("number"), F.lit(-1)) + 1).alias("full"), F.coalesce(F.sum(F.when(F.col("number") < 0, F.col("length"))), F.lit(0)).alias("rest"))
+    per = materialise(per.select("lane", F.greatest("full", F.lit(0)).cast("long").alias("full"), F.col("rest").cast("long").alias("rest")), "pack-lanes")
+    full, rest = per.agg(F.coalesce(F.sum("full"), F.lit(0)), F.coalesce(F.sum("rest"), F.lit(0))).first()
+    known = placed.join(_before(per, ["full", "rest"]), "lane")
+    shown = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", *(["ids"] if with_ids else [])]
+    main = known.where("number >= 0").withColumn("sequence_id", F.col("before_full") + F.col("number")).select(*shown)
+
+    whole = rest // window * window
+    edges = [whole + (rest - whole >> b + 1 << b + 1) for b in range(window.bit_length()) if rest - whole >> b & 1][::-1]  # begins of the powers of two
+    begin = F.array(*[F.lit(e).cast("long") for e in [*edges, rest]])
+    tail = known.where("number < 0").withColumn("lo", F.col("before_rest") + F.col("offset")).withColumn("hi", F.col("lo") + F.col("length"))
+    inside = F.expr(f"filter(sequence(lo div {window}, (hi - 1) div {window}), k -> k * {window} < {whole})")
+    marks = F.concat(F.transform(inside, lambda k: F.struct(k.cast("long").alias("k"), (k * window).cast("long").alias("a"), ((k + 1) * window).cast("long").alias("b"))), F.transform(F.slice(begin, 1, len(edges)), lambda a, i: F.struct((F.lit(whole // window) + i).cast("long").alias("k"), a.alias("a"), F.get(begin, i + 1).alias("b"))))
+    tail = tail.withColumn("m", F.explode(F.filter(marks, lambda m: (m["a"] < F.col("hi")) & (m["b"] > F.col("lo")))))
+    tail = tail.withColumn("x", F.greatest("lo", "m.a")).withColumn("y", F.least("hi", "m.b"))
+    tail = tail.withColumn("part_ids", F.expr("substring(ids, cast(4 * (x - lo) + 1 as int), cast(4 * (y - x) as int))"))
+    tail = tail.select("key", (F.col("start") + F.col("x") - F.col("lo")).alias("start"), (F.col("y") - F.col("x")).alias("length"), F.crc32("part_ids").alias("ids_crc32"), "doc_tokens", (F.lit(full) + F.col("m.k")).alias("sequence_id"), (F.col("x") - F.col("m.a")).alias("offset"), "source", F.col("part_ids").alias("ids")).select(*shown)
+    return main.unionByName(tail).withColumnRenamed("key", id_column)

@@ -161,7 +161,8 @@ def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
 
     ``sample`` bounds the documents that train the scorer: about so many by a hash of id and text, at most twice as many.
     The vote counts cover all documents. A null, empty or blank text has score 0 and isn't kept. Null and repeated ids give
-    one row per input row; an empty table gives no rows. ``keep_columns``: the columns of docs come first.
+    one row per input row; an empty table gives no rows. ``keep_columns``: the columns of docs come first, as c0, c1 and so
+    on, so that none clashes with those of the classifier.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -227,10 +228,15 @@ def classify(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
 
     extra = [T.StructField("n_words", T.LongType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     if keep_columns:
-        out = T.StructType([*docs.schema.fields, *extra])
         names = [f"c{i}" for i in range(len(docs.columns))] + [f.name for f in extra]
         named = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + extra)
         shown = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-        return shown.mapInArrow(tidied(score), named).toDF(*out.names)
+        return shown.mapInArrow(tidied(score), named)
     names = [id_column, *[f.name for f in extra]]
     return base.mapInArrow(tidied(score), T.StructType([T.StructField(id_column, kind), *extra]))
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows that classify keeps, with the columns of docs, whatever they are called. Rows are judged one by one, so repeated rows and null ids stay as they came; null, empty and blank texts go."""
+    found = classify(docs, keep_columns=True, **options).where("kept")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -33,7 +33,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents"), weights=(5, 2, 1))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapwarden.llm.components import components
+from snapwarden.llm.near_copies import near_groups
 from snapwarden.llm.storage import arrow_batches, materialise
 from snapwarden.llm.words import byte_slices, text_array, tidied
 
 BLOCKS = 6
 SEED = 42
+#: Fingerprints of one bucket; larger buckets are split by the bits that their members don't share.
+LARGE = 20_000
 
 
 def _block_masks(blocks: int = BLOCKS) -> list[int]:
@@ -121,7 +124,7 @@ def _bucket_links(k: int, n_pivots: int):
     pivots = references(n_pivots)
 
     def found(key: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """key: rows of (choice, masked bits), equal ones together."""
+        """key: rows that name the bucket, equal ones together."""
         new = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
         begins = np.concatenate([[0], new])
         sizes = np.diff(np.concatenate([begins, [len(prints)]]))
@@ -137,22 +140,60 @@ def _bucket_links(k: int, n_pivots: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+        keys: list[np.ndarray] = []  # of the buckets that aren't whole yet
+        prints: list[np.ndarray] = []
+
+        def flush(upto: int) -> Iterator[pa.RecordBatch]:
+            key, own = np.concatenate(keys), np.concatenate(prints)
+            if upto:
+                yield from found(key[:upto], own[:upto])
+            keys[:], prints[:] = [key[upto:]], [own[upto:]]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.concatenate([held_key, np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()], axis=1)])
-            prints = np.concatenate([held, batch.column(2).to_numpy().view(np.uint64)])
-            last = len(key) - int(np.argmin(np.append(np.all(key == key[-1], axis=1)[::-1], False)))  # the last bucket may go on
-            if last:
-                yield from found(key[:last], prints[:last])
-            held_key, held = key[last:], prints[last:]
-        if len(held):
-            yield from found(held_key, held)
+            n = batch.num_columns - 1
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(n)], axis=1)
+            keys.append(key)
+            prints.append(batch.column(n).to_numpy().view(np.uint64))
+            same = np.all(key == key[-1], axis=1)
+            if not same.all() or (len(keys) > 1 and (keys[-2][-1] != key[-1]).any()):  # a bucket ended here; the last one may go on
+                tail = int(np.argmin(np.append(same[::-1], False)))
+                yield from flush(sum(map(len, keys)) - tail)
+        if keys:
+            yield from flush(sum(map(len, keys)))
 
     return run
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _parts(mask: int, k: int) -> list[int]:
+    """The bits outside the mask in k + 1 parts: fingerprints that agree inside it and differ in k bits agree in one part."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in free[len(free) * i // (k + 1) : len(free) * (i + 1) // (k + 1)]) for i in range(k + 1)]
+
+
+def bucketed(nodes: DataFrame, k: int, large: int = LARGE) -> DataFrame:
+    """nodes (fp) → (choice, bits, part, more, fp), so that each pair within k bits shares a bucket of the first four.
+
+    A bucket of over ``large`` fingerprints is split into k + 1 kinds of smaller ones; no pair is lost.
+    """
+    masks = bucket_masks(k)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks)]))
+    spread = nodes.select(keys.alias("k"), "fp").select("k.choice", "k.bits", "fp")
+    plain = spread.select("choice", "bits", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("more"), "fp")
+    full = materialise(spread.groupBy("choice", "bits").count().where(F.col("count") > large).select(F.col("choice").alias("c"), F.col("bits").alias("b")), "simhash-large")
+    if full.isEmpty():
+        return plain
+    own = (F.col("choice") == F.col("c")) & (F.col("bits") == F.col("b"))
+    cuts = F.element_at(F.array(*[F.array(*[F.lit(_signed(p)).cast("long") for p in _parts(m, k)]) for m in masks]), F.col("choice") + 1)
+    split = spread.join(full, own, "left_semi").select("choice", "bits", "fp", F.posexplode(cuts).alias("part", "cut")).select("choice", "bits", "part", F.col("fp").bitwiseAND(F.col("cut")).alias("more"), "fp")
+    return plain.join(full, own, "left_anti").unionByName(split)
+
+
 def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, k: int = 3, n_pivots: int = 32, batch_bytes: int = 2 << 20) -> DataFrame:
     """Per input row: id, fingerprint (16 hex digits), component_id (smallest id that chains of links reach).
 
@@ -174,12 +215,22 @@ def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
     rows = materialise(docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(tidied(run), schema), "simhash-rows")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bucket_masks(k)]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)]))
-    spread = nodes.select(keys.alias("k"), "fp").select("k.choice", "k.bits", "fp").repartition("choice", "bits").sortWithinPartitions("choice", "bits")
+    keys = ["choice", "bits", "part", "more"]
+    spread = bucketed(nodes.select("fp"), k).repartition(*keys).sortWithinPartitions(*keys)
     links = spread.mapInArrow(tidied(_bucket_links(k, n_pivots)), "a long, b long")
     roots = components(links)
     grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
     return rows.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, rows: DataFrame, *, text_column: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """Of the numbered rows (row, doc) of docs one of each group of near copies, the first, with the columns of docs.
+
+    Near copies share ``least`` of their word shingles (Jaccard similarity of the sets), directly or through others; see
+    near_copies for why the pivot tables then hold distances of shingle sets. Null, empty and blank texts are copies of one
+    another; repeated rows and null ids are rows like any other; an empty table gives no rows.
+    """
+    groups = near_groups(rows.select("row", F.col(f"doc.`{text_column}`").alias("text")), words=words, least=least)
+    return rows.join(groups.where(F.col("row") == F.col("group")).select("row"), "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

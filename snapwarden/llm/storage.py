@@ -7,8 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,17 +22,10 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/snapwarden-shared"
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable; a folder that the session already has is kept."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_root(spark))
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path under the shared root, removed when the driver ends."""
+    """A new folder path under the shared root, removed by release, or when the driver ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
@@ -39,11 +33,18 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table that materialise wrote for df, once nothing reads it any more."""
+    if path := getattr(df, "_scratch_path", None):
+        remove(df.sparkSession, path)
 
 
 @atexit.register
 def _clear() -> None:
-    for spark, path in _made:
+    for path, spark in [*_made.items()]:
         try:
             if spark.sparkContext._jsc is not None:
                 remove(spark, path)
@@ -56,9 +57,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """A table (row, doc): every row of docs as a struct, whatever its columns are called, with a number drawn once."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), name)
 
 
 def arrow_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
-    """Bound the bytes of the Arrow batches sent to Python: long texts then make shorter batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
+    """Bound the bytes of the Arrow batches sent to Python: long texts then make shorter batches. A smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and 0 < int(now) <= max_bytes):
+        spark.conf.set(key, str(max_bytes))

@@ -51,11 +51,13 @@ class Encoder:
             import sentencepiece
 
             piece = sentencepiece.SentencePieceProcessor(model_file=self.path)
+            self.size = piece.get_piece_size()
             self.whole = lambda texts: piece.encode(texts, num_threads=1)
         else:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
+            self.size = self.library.get_vocab_size()
             self.whole = lambda texts: [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
             with open(self.path, encoding="utf-8") as f:
                 head, model, rest = f.read().partition('"model"')

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapwarden.llm.storage import arrow_batches, scratch
+from snapwarden.llm.storage import arrow_batches, materialise, scratch
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -83,6 +84,9 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     said = head.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != base32_sha1(block):
         raise ValueError("block digest differs")
+    said = head.get("warc-payload-digest", "")
+    if head.get("warc-type") == "response" and said.startswith("sha1:") and said[5:] != base32_sha1(block.partition(b"\r\n\r\n")[2]):
+        raise ValueError("payload digest differs")
     return head, block, end + 4
 
 
@@ -236,47 +240,49 @@ def _field(head: dict[str, str], block: bytes) -> tuple:
     return number(head.get("warc-record-id")), size, head.get("warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(payload), kind, number(head.get("warc-refers-to")), head.get("warc-target-uri"), payload
 
 
-def read_archives(spark: SparkSession, folder: str, *, with_payload: bool = True) -> DataFrame:
-    """The records of all archives in a folder that pass their checks. An archive is read by one task, so keep them small."""
-    schema = RECORD if with_payload else T.StructType(RECORD.fields[:-1])
-    width = len(schema.fields)
-    arrow = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+def salvage_archives(spark: SparkSession, folder: str, *, with_payload: bool = True) -> DataFrame:
+    """Records and quarantined gaps of all archives in a folder, in one read: the fields of RECORD, then those of GAP; a record has no reason.
+
+    An archive is read by one task, so keep them small. Records pass their checks: checksum of the member, version line,
+    length, end, and block and payload digests, which are computed again. An empty or missing folder gives no rows.
+    """
+    schema = T.StructType([*(RECORD.fields if with_payload else RECORD.fields[:-1]), *GAP.fields])
     found = _archives(spark, folder)
     if found is None:
         return spark.createDataFrame([], schema)
     arrow_batches(spark)
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if with_payload else []), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    width = len(kinds) - len(GAP.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = [_field(*x) for x in salvage(content.as_py()).records]
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                got = salvage(batch.column(1)[i].as_py())
+                rows = [(*_field(*x)[:width], path, None, None, None) for x in got.records] + [(*[None] * width, path, *g) for g in got.gaps]
                 for k in range(0, len(rows), 2000):
-                    part = rows[k : k + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], arrow[i]) for i in range(width)], schema.names)
+                    part = [*zip(*rows[k : k + 2000], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], schema.names)
 
-    return found.select("content").mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
 
 
-def read_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """The quarantined byte ranges of all archives in a folder."""
-    found = _archives(spark, folder)
-    if found is None:
-        return spark.createDataFrame([], GAP)
+def read_archives(spark: SparkSession, folder: str, *, with_payload: bool = True) -> DataFrame:
+    """The records of salvage_archives."""
+    return salvage_archives(spark, folder, with_payload=with_payload).where("reason is null").drop(*GAP.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                gaps = salvage(r["content"]).gaps
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(gaps), pa.string()), *[pa.array([g[i] for g in gaps], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], GAP.names)
 
-    return found.mapInArrow(run, GAP)
+def read_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The quarantined byte ranges of salvage_archives."""
+    return salvage_archives(spark, folder, with_payload=False).where("reason is not null").select(*GAP.names)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write all pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null and repeated ids, null, empty and very long payloads and null urls come back as they went in; an empty table
-    gives no rows.
+    Null and repeated ids, null, empty and very long payloads and null urls come back as they went in; other columns don't
+    matter; an empty table gives no rows. What one read finds is kept in a table; gaps in it are logged.
     """
-    folder = write_archives(pages, **options)
-    return read_archives(pages.sparkSession, folder, with_payload=False).drop("url")
+    found = materialise(salvage_archives(pages.sparkSession, write_archives(pages, **options), with_payload=False), "warc-read")
+    for r in found.where("reason is not null").orderBy("archive", "first_byte").limit(100).collect():
+        logging.getLogger(__name__).warning("quarantined %s bytes %d to %d: %s", r.archive, r.first_byte, r.end_byte, r.reason)
+    return found.where("reason is null").drop("url", *GAP.names)

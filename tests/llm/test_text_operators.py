@@ -6,8 +6,8 @@ import hashlib
 import math
 import re
 import zlib
-from decimal import Decimal
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -82,11 +82,24 @@ def test_exact_dedup_empty(empty):
     assert rows(exact_dedup.exact_dedup(empty)) == []
 
 
-def test_index_takes_several_runs(spark):
+def test_index_takes_several_runs_and_levels(spark):
     index = exact_dedup.DigestIndex(spark)
-    for part in ([(b"a", Decimal(2), 2), (b"b", Decimal(3), 3)], [(b"a", Decimal(1), 1)]):
-        index.flush(spark.createDataFrame(part, "digest binary, rank decimal(20,0), id long"))
-    assert sorted((bytes(r.digest), r.keep_id, r.n) for r in index.compact().collect()) == [(b"a", 1, 2), (b"b", 3, 1)]
+    flush = lambda *part: index.flush(spark.createDataFrame(part, "digest binary, id long"))
+    level = lambda: sorted((bytes(r.digest), r.keep_id, r.n) for r in index.compact().collect())
+    flush((b"a", 2), (b"b", 3), (b"c", None))
+    flush((b"a", 1))
+    assert level() == [(b"a", 1, 2), (b"b", 3, 1), (b"c", None, 1)]
+    flush((b"b", 9), (b"c", 5))
+    assert level() == [(b"a", 1, 2), (b"b", 3, 2), (b"c", 5, 2)] == level()
+    assert [(bytes(r.digest), r.n) for r in index.find([b"b", b"x"]).collect()] == [(b"b", 2)]
+
+
+def test_exact_dedup_takes_string_ids_and_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(exact_dedup, "BITS_PER_DIGEST", 0)
+    data = [(f"k{i}", f"text {i % 40}") for i in range(300)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(data, "doc_id string, text string"), keep="max")
+    assert sorted(rows(got), key=str) == expect_exact(data, max)
 
 
 def test_exact_dedup_survives_digest_collisions(spark, monkeypatch):
@@ -174,26 +187,66 @@ def test_packing(awkward, docs, empty, library):
     assert rows(packing.pack(empty)) == []
 
 
-def test_packing_fills_windows_to_proportion(spark, library):
+def shares_by_window(by_sequence, window):
+    for k in sorted(by_sequence):
+        if sum(r.length for r in by_sequence[k]) == window:
+            yield collections.Counter({s: sum(r.length for r in by_sequence[k] if r.source == s) for s in {r.source for r in by_sequence[k]}})
+
+
+@pytest.mark.parametrize("lane_windows", [4, 64])
+def test_packing_fills_every_window_to_proportion(spark, library, lane_windows):
     data = [(i, " ".join(["word"] * n), s) for i, (n, s) in enumerate([(700, "a")] * 60 + [(300, "b")] * 70 + [(100, "c")] * 60)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3, "doc_id")
-    got = packing.pack(df, window=1024, quantum=128).collect()
-    by_sequence, _ = check_packing(got, data, library, 1024)
+    got = packing.pack(df, window=1024, lane_windows=lane_windows).collect()
+    by_sequence, padding = check_packing(got, data, library, 1024)
     total = sum(r.length for r in got)
     share = {s: sum(r.length for r in got if r.source == s) / total for s in "abc"}
+    windows = [*shares_by_window(by_sequence, 1024)]
+    assert padding == 0 and len(windows) == total // 1024
+    in_lanes = total // (1024 * lane_windows) * lane_windows * 3 // 4 or len(windows) - 1  # the last windows hold what the lanes left
     so_far = collections.Counter()
-    for k in range(total // 1024 - 3):  # the remainders come last
-        for r in by_sequence[k]:
-            so_far[r.source] += r.length
-        assert all(abs(so_far[s] - share[s] * 1024 * (k + 1)) <= 2.5 * 128 for s in "abc")
+    for k, w in enumerate(windows[:in_lanes]):
+        so_far.update(w)
+        for s in "abc":
+            assert abs(w[s] - share[s] * 1024) <= 3 * (64 + 32)
+            assert abs(so_far[s] - share[s] * 1024 * (k + 1)) <= 3 * (64 + 32) + 2 * (k // lane_windows + 1) * 64
 
 
 def test_packing_by_weights(spark, library):
     data = [(i, " ".join(["word"] * 500), "ab"[i % 2]) for i in range(60)]
-    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string, source string"), window=1024, quantum=128, weights={"a": 3.0, "b": 1.0}).collect()
-    by_sequence, _ = check_packing(got, data, library, 1024)
-    early = [r for k in range(8) for r in by_sequence[k]]
-    assert abs(sum(r.length for r in early if r.source == "a") / sum(r.length for r in early) - 0.75) < 0.03
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for weights in ({"a": 3.0, "b": 1.0}, (3, 1)):
+        got = packing.pack(df, window=1024, weights=weights, lane_windows=8).collect()
+        by_sequence, _ = check_packing(got, data, library, 1024)
+        for k in range(16):
+            assert abs(sum(r.length for r in by_sequence[k] if r.source == "a") / 1024 - 0.75) < 0.15
+        early = [r for k in range(16) for r in by_sequence[k]]
+        assert abs(sum(r.length for r in early if r.source == "a") / sum(r.length for r in early) - 0.75) < 0.03
+    with pytest.raises(ValueError):
+        packing.pack(df, weights={"a": 0.0})
+
+
+def test_packing_gives_ids_and_pools_many_sources(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    data = [(i, " ".join(["some words here"] * (i % 9)), f"s{i % 7}" if i % 11 else None) for i in range(120)]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4), window=256, with_ids=True, weights=(5, 2, 1)).collect()
+    check_packing(got, data, library, 256)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+
+
+@given(st.lists(st.tuples(st.integers(1, 5000), st.sampled_from([5.0, 2.0, 1.0])), min_size=1, max_size=12), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_schedule_deals_each_token_to_one_lane(queues, lanes):
+    plan = packing.Schedule(np.array([n for n, _ in queues]), np.array([w for _, w in queues]), lanes)
+    for q, (n, _) in enumerate(queues):
+        place = np.full(lanes + 1, q)
+        borders = plan.border(np.arange(lanes + 1), place)
+        assert borders[0] == 0 and borders[-1] == n and (np.diff(borders) >= 0).all()
+        at = np.arange(n)
+        lane = plan.lane(np.full(n, q), at)
+        assert (borders[lane] <= at).all() and (at < borders[lane + 1]).all()
+    sizes = sum(np.diff(plan.border(np.arange(lanes + 1), np.full(lanes + 1, q))) for q in range(len(queues)))
+    assert (abs(sizes - sum(n for n, _ in queues) / lanes) <= len(queues) + 1).all()
 
 
 # --- mixing
@@ -352,6 +405,21 @@ def test_some_bucket_holds_every_linked_pair():
         assert any(all(not m >> b & 1 for b in flips) for m in masks)
 
 
+@pytest.mark.parametrize("large", [1, 4, 10**9])
+def test_split_buckets_lose_no_pair(spark, large):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 12)
+    prints = {int(x) for b in base for x in [b, *(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in rng.choice(63, n, replace=False)]) for n in (1, 2, 3, 3, 5))]}
+    keyed = simhash.bucketed(spark.createDataFrame([(x,) for x in prints], "fp long"), 3, large).collect()
+    buckets = collections.defaultdict(set)
+    for r in keyed:
+        buckets[r.choice, r.bits, r.part, r.more].add(r.fp)
+    for x in prints:
+        for y in prints:
+            if x < y and (x ^ y).bit_count() <= 3:
+                assert any(x in own and y in own for own in buckets.values())
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
@@ -465,7 +533,71 @@ def test_quality_edges(awkward, empty):
     got = quality.classify(awkward).collect()
     assert len(got) == len(AWKWARD) and all(not r.kept and r.score == 0 for r in got if r.n_words == 0)
     assert rows(quality.classify(empty)) == []
-    assert quality.classify(awkward, keep_columns=True).columns[: len(awkward.columns)] == awkward.columns
+    clashing = awkward.selectExpr("*", "'k' as kept", "1 as score", "2 as n_words")
+    assert quality.kept_documents(clashing).columns == clashing.columns
+    assert quality.kept_documents(clashing).count() == quality.classify(awkward).where("kept").count()
+
+
+def brute_quality(texts, dims):
+    """Posterior and score of each text: expectation-maximisation document by document, and a dense logistic regression."""
+    limits, votes, bins = quality.LIMITS, [], []
+    for text in texts:
+        w = split(text)
+        n = max(len(w), 1)
+        parts = max(1, len(w) // 200)
+        pieces = [w[len(w) * i // parts : len(w) * (i + 1) // parts] for i in range(parts)]
+        values = {
+            "symbols": sum(c in "#*$%&<>" for c in text or "") / n, "separators": (text or "").count("|") / n, "capitals": sum(x.isupper() for x in w) / n, "repeats": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+            "stop_words": sum(x.lower() in quality.STOP_WORDS for x in w) / n, "variety": sum(len({*p}) / max(len(p), 1) for p in pieces) / parts, "exclamations": (text or "").count("!!") / n, "word_length": sum(map(len, w)) / n,
+        }
+        row = []
+        for name in quality.LABELLERS:
+            sign, bad, good = limits[name]
+            v = sign * values[name]
+            row.append(None if len(w) < quality.LEAST.get(name, 1) else 0 if v >= sign * bad else 1 if v <= sign * good else None)
+        votes.append(row)
+        bins.append([f"\x00{name}={min(int(values[name] * (1 if name == 'word_length' else 20)), 30)}" for name in quality.LABELLERS])
+    belief = []
+    for row in votes:
+        good, bad = row.count(1), row.count(0)
+        belief.append((good + 0.5) / (good + 3 * bad + 1) if good + bad else 0.5)
+    for _ in range(100):
+        prior = (sum(belief) + 1) / (len(belief) + 2)
+        right = []
+        for k in range(len(quality.LABELLERS)):
+            cast = [(b, r[k]) for b, r in zip(belief, votes, strict=True) if r[k] is not None]
+            right.append([[(sum((b if c else 1 - b) for b, v in cast if v == x) + 1) / (sum((b if c else 1 - b) for b, _ in cast) + 2) for x in (0, 1)] for c in (0, 1)])
+        belief = []
+        for row in votes:
+            gap = math.log(prior / (1 - prior)) + sum(math.log(right[k][1][v] / right[k][0][v]) for k, v in enumerate(row) if v is not None)
+            belief.append(1 / (1 + math.exp(-min(max(gap, -60), 60))))
+    x, full = np.zeros((len(texts), dims)), [i for i, t in enumerate(texts) if split(t)]
+    for i in full:
+        w = split(texts[i])
+        for word in w:
+            x[i, xxhash.xxh32_intdigest(word) % dims] += 1 / len(w)
+        for b in bins[i]:
+            x[i, xxhash.xxh32_intdigest(b) % dims] += 1
+    weights, bias, seen, seen_b = np.zeros(dims), 0.0, np.full(dims, 1e-8), 1e-8
+    want = np.array(belief)
+    for _ in range(150):
+        err = (1 / (1 + np.exp(-np.clip(x[full] @ weights + bias, -30, 30))) - want[full]) / len(full)
+        slope, slope_b = x[full].T @ err + 1e-4 * weights, err.sum()
+        seen, seen_b = seen + slope**2, seen_b + slope_b**2
+        weights, bias = weights - 0.3 * slope / np.sqrt(seen), bias - 0.3 * slope_b / np.sqrt(seen_b)
+    score = 1 / (1 + np.exp(-(x @ weights + bias)))
+    return {i: (belief[i] if split(t) else 0.0, float(score[i]) if split(t) else 0.0) for i, t in enumerate(texts)}
+
+
+def test_quality_equals_brute_force(spark, docs):
+    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()] + [None, "", "!!! $$$ ### " * 30, "the same the same the same " * 20, "A B C D E"]
+    want = brute_quality(texts, 1 << 10)
+    got = quality.classify(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3), dims=1 << 10).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.posterior == pytest.approx(want[r.doc_id][0], abs=1e-6)
+        assert r.score == pytest.approx(want[r.doc_id][1], abs=1e-3)
+        assert r.kept == (bool(split(texts[r.doc_id])) and r.score >= 0.5)
 
 
 def test_labellers_accuracies_are_found():
