@@ -34,6 +34,10 @@ from snapwarden.llm.words import byte_slices, text_array, tidied
 MAX_QUEUES = 65_536
 #: Lanes whose running totals are taken in one task.
 GROUP = 4096
+#: Rows of the table of queues' places by partition that are broadcast, about 16 MB; a longer one is joined by a shuffle.
+MOST_LOTS = 200_000
+#: Bytes of token ids of one task where the session's number of shuffle partitions is too small for them.
+TASK_BYTES = 32 << 20
 _SPARK = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
 _TOKENS = [("part", pa.int32()), ("source", pa.string()), ("local", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
 _CUT = [("source", pa.string()), ("queue", pa.int32()), ("lane", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
@@ -273,7 +277,8 @@ def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     tokens = materialise(given.mapInArrow(tidied(_tokenise(end_id, path, narrow, batch_bytes)), _schema(kind, _TOKENS)), "pack-tokens")
 
     # Totals of the queues, and where each partition's tokens begin in them.
-    lots = tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n"))
+    lots = materialise(tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")), "pack-lots")
+    few = lots.limit(MOST_LOTS + 1).count() <= MOST_LOTS
     sums = lots.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.asc_nulls_last("source")).limit(MAX_QUEUES + 1).collect()
     if len(sums) > MAX_QUEUES:
         lots = lots.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int"))
@@ -289,10 +294,11 @@ def pack(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     plan = Schedule(np.array(totals, np.int64), shares, max(1, round(sum(totals) / (window * lane_windows))))
     line = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
     bases = lots.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
-    queued = tokens.join(bases, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("key", "source", "queue", (F.col("base") + F.col("local")).alias("at"), "doc_tokens", "ids")
+    queued = tokens.join(F.broadcast(bases) if few else bases, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("key", "source", "queue", (F.col("base") + F.col("local")).alias("at"), "doc_tokens", "ids")
 
     cut = queued.mapInArrow(tidied(_cut(plan, narrow)), _schema(kind, _CUT))
-    lanes = cut.repartition("lane").sortWithinPartitions("lane", "queue", "at")
+    tasks = sum(totals) * (2 if narrow else 4) // TASK_BYTES
+    lanes = (cut.repartition(tasks, "lane") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else cut.repartition("lane")).sortWithinPartitions("lane", "queue", "at")
     placed = materialise(lanes.mapInArrow(tidied(_place(plan.weights, window, slack, least, narrow, with_ids)), _schema(kind, _PLACED)), "pack-placed")
 
     # Numbers of the lanes' windows, and the windows made of what lanes have left.
