@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,18 @@ def _clear() -> None:
             return
 
 
+@contextmanager
+def kept_until(spark: SparkSession, earlier: list[str]) -> Iterator[None]:
+    """Remove the scratch tables named in ``earlier``, and name there instead those that are made inside."""
+    for path in earlier:
+        if path in _made:
+            remove(spark, path)
+    earlier.clear()
+    before = set(_made)
+    yield
+    earlier.extend(p for p in _made if p not in before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
