@@ -130,6 +130,29 @@ def generate(args: argparse.Namespace) -> int:
     return 0 if all(checked.values()) else 1
 
 
+def delta_run(args: argparse.Namespace) -> int:
+    """The weekly run on a Delta table, whose path comes first."""
+    args.manifest = args.scenario = None
+    return weekly(args)
+
+
+def generate_suite(args: argparse.Namespace) -> int:
+    from snapwarden.world.faults import build, schedule
+    from snapwarden.world.vault import Vault, write_scenario
+
+    for k, family in enumerate(schedule(args.number, args.families)):
+        write_scenario(build(_spark(), family, args.profile, args.seed + k), args.out, Vault(args.oracle), f"scenario-{k:03d}")
+    return 0
+
+
+def verify(args: argparse.Namespace) -> int:
+    from snapwarden.world.vault import Vault, verify_suite
+
+    found = verify_suite(_spark(), args.suite, Vault(args.oracle))
+    print(dumps(found, indent=1))
+    return 1 if any(found.values()) or not found else 0
+
+
 def list_faults(args: argparse.Namespace) -> int:
     from snapwarden.world.faults import SPECS
 
@@ -185,6 +208,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out", required=True)
     p.add_argument("--notify")
     p.add_argument("--force", action="store_true")
+    p = command(delta_run)
+    p.add_argument("delta")
+    for o in ("--stage", "--config", "--current", "--previous", "--registry", "--expectations", "--notify"):
+        p.add_argument(o)
+    p.add_argument("--journal", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--force", action="store_true")
+    p = command(generate_suite)
+    p.add_argument("--out", required=True)
+    p.add_argument("--oracle", required=True)
+    p.add_argument("--number", type=int, default=5)
+    p.add_argument("--families", nargs="*")
+    p.add_argument("--profile", default="tiny")
+    p.add_argument("--seed", type=int, default=7)
+    p = command(verify)
+    p.add_argument("suite")
+    p.add_argument("--oracle", required=True)
     command(report).add_argument("machine")
     p = command(explain)
     p.add_argument("--journal", required=True)

@@ -172,6 +172,12 @@ def like_for_like(previous: DataFrame, current: DataFrame, closures: DataFrame,
     return previous, current
 
 
+def split_effects(previous: DataFrame, current: DataFrame, column: str, metrics: Sequence[str]) -> DataFrame:
+    """(column, metrics): what each value of a column gained from one frame to the other. Both are tagged and summed once."""
+    side = lambda df, sign: df.select(column, *[(F.col(m) * sign).alias(m) for m in metrics])
+    return side(previous, -1).unionByName(side(current, 1)).groupBy(column).agg(*[cubes.zero_sum(m).alias(m) for m in metrics])
+
+
 def residual_reason(a: dict[str, Any], config: DatasetConfig) -> str | None:
     if a["material"] and a["explained_fraction"] < config.explained_fraction_threshold:
         return "unexplained_value_change"

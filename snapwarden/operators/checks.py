@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapwarden.config import DatasetConfig
+from snapwarden.functions.aggregates import median_and_mad
 from snapwarden.operators.cubes import aggregate, measures, zero_sum
 from snapwarden.operators.fingerprints import fingerprint, fingerprint_deltas
 from snapwarden.operators.lifecycle import EXTENDED, NEW_BACKFILL, NEW_RECENT, REMOVED, TRUNCATED
@@ -114,19 +115,22 @@ def marker_rows(base: DataFrame, config: DatasetConfig) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("marker_rows")) for c in columns])).alias("x")).select("x.*")
 
 
+def unit_values(base: DataFrame, config: DatasetConfig) -> DataFrame:
+    """(week, ratio): value per unit of each week with units."""
+    sums = base.groupBy(F.col(config.week_column).alias("week")).agg(F.sum(config.unit_value_metric).alias("v"), F.sum(config.unit_value_quantity).alias("u"))
+    return sums.where("u > 0").select("week", (F.col("v") / F.col("u")).alias("ratio"))
+
+
 def price_outliers(base: DataFrame, config: DatasetConfig, periods: Sequence[int] | None) -> DataFrame:
     """Weeks whose value per unit is far from the median of the weeks before: (week, ratio, median, robust_z)."""
-    week, value, units = config.week_column, config.unit_value_metric, config.unit_value_quantity
-    ratios = base.groupBy(F.col(week).alias("week")).agg(F.sum(value).alias("v"), F.sum(units).alias("u")).where("u > 0").select("week", (F.col("v") / F.col("u")).alias("ratio"))
+    ratios = unit_values(base, config)
     reference = tested = ratios
     if periods is not None:
         reference = ratios.where(F.col("week") < (min(periods) if periods else 0))
         if config.price_reference_weeks:
             reference = reference.orderBy(F.desc("week")).limit(config.price_reference_weeks)
         tested = ratios.where(F.col("week").isin(*periods)) if periods else ratios.limit(0)
-    middle = reference.agg(F.median("ratio").alias("median"), F.count(F.lit(1)).alias("n"))
-    spread = reference.crossJoin(F.broadcast(middle)).agg(F.median(F.abs(F.col("ratio") - F.col("median"))).alias("mad"))
-    usable = middle.crossJoin(spread).where((F.col("n") >= 5) & (F.col("mad") > 1e-9 * F.greatest(F.abs("median"), F.lit(1.0))))
+    usable = median_and_mad(reference, [], "ratio").where((F.col("n") >= 5) & (F.col("mad") > 1e-9 * F.greatest(F.abs("median"), F.lit(1.0))))
     z = 0.6745 * (F.col("ratio") - F.col("median")) / F.col("mad")
     return tested.crossJoin(F.broadcast(usable)).select("week", "ratio", "median", z.alias("robust_z")).where(F.abs("robust_z") > config.price_outlier_k)
 
@@ -228,6 +232,18 @@ def divergence(previous: DataFrame, current: DataFrame, keys: Sequence[str], wee
     return out.select(relative.alias("relative_divergence"), "row_count_delta")
 
 
+def week_revision(previous: DataFrame, current: DataFrame, weeks: Column, config: DatasetConfig) -> DataFrame:
+    """(week, revision, scale): what each compared week gained, and the size of its previous total."""
+    week, m = config.week_column, config.primary_metric
+    tag = lambda df, sign: df.where(weeks).select(F.col(week).alias("week"), (F.col(m) * sign).alias("r"), (F.col(m) if sign < 0 else F.lit(None).cast("double")).alias("p"))
+    return tag(previous, -1).unionByName(tag(current, 1)).groupBy("week").agg(zero_sum("r").alias("revision"), F.abs(zero_sum("p")).alias("scale"))
+
+
+def entity_week_sums(df: DataFrame, column: str, config: DatasetConfig) -> DataFrame:
+    """(entity_id, week, value): the primary measure of each entity of a column and week."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("entity_id"), F.col(config.week_column).alias("week")).agg(zero_sum(config.primary_metric).alias("value"))
+
+
 def stage_increments(stages: Sequence[tuple[str, DataFrame, DataFrame]], weeks: Column, config: DatasetConfig) -> DataFrame:
     """(stage, position, increment): revision by week that a stage adds to the stage before, relative to its previous total."""
     week, m = config.week_column, config.primary_metric

@@ -89,6 +89,11 @@ def revision_cube(previous: DataFrame, current: DataFrame, keys: Sequence[str],
     return out.select(*keys, *shown, period.alias("period"))
 
 
+def sorted_cube(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cube in the order of its keys, nulls first, for reading."""
+    return cube.orderBy(*[F.asc_nulls_first(k) for k in keys])
+
+
 def cube_summary(cube: DataFrame, metric: str) -> DataFrame:
     """Totals of a measure over the overlap."""
     return cube.where("period = 'overlap'").agg(*[F.coalesce(F.sum(f"{metric}_{x}"), F.lit(0.0)).alias(x) for x in ("previous", "current", "delta")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,24 +12,33 @@ from snapwarden.operators.lifecycle import _entities, shared_entities
 from snapwarden.operators.pairs import VersionPair
 
 
-def adjusted_p(p: str, order: list[str], partition: list[str] | None = None) -> tuple[Column, Column]:
-    """Benjamini-Hochberg: rank columns needed for adjusted p-values. Ties keep the given order."""
-    part = Window.partitionBy(*(partition or [F.lit(1)]))
-    ranked = part.orderBy(F.col(p), *[F.col(o) for o in order])
-    rank, size = F.row_number().over(ranked), F.count(F.lit(1)).over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rank, size
-
-
-def benjamini_hochberg(df: DataFrame, q: float, p: str = "p_value", order: list[str] | None = None, partition: list[str] | None = None) -> DataFrame:
-    """df with adjusted_p and significant. The family is one window: a test per series or candidate, not per row of facts."""
-    rank, size = adjusted_p(p, order or [], partition)
-    ranked = df.withColumn("_rank", rank).withColumn("_m", size)
-    tail = Window.partitionBy(*(partition or [F.lit(1)])).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    adjusted = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(tail))
-    return ranked.withColumn("adjusted_p", adjusted).withColumn("significant", F.col("adjusted_p") <= q).drop("_rank", "_m")
+def benjamini_hochberg(df: DataFrame, q: float, p: str = "p_value", keys: Sequence[str] = ()) -> DataFrame:
+    """df with adjusted_p and significant; a family for each value of ``keys``. A null p-value is no test.
 
-
-def _one_sided(df: DataFrame, other: DataFrame, columns: list[str], pair: VersionPair, config: DatasetConfig) -> DataFrame:
+    A p-value's adjusted value depends on how many are at most as large, so rows are counted by distinct p-value first, and
+    these by bins of their logarithm: a task sees one bin, and one task the few thousand bins. Ties share a value.
+    """
+    by = [*keys, "_p"]
+    bin_ = F.coalesce(F.floor(F.log2(F.when(F.col("_p") > 0, F.col("_p"))) * 64).cast("int"), F.lit(-(2**30)))
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", bin_)
+    family = Window.partitionBy(*(keys or [F.lit(0)]))
+    below, above = family.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), family.orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
+    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_bn").over(below), F.lit(0)).alias("_base"), F.sum("_bn").over(family).alias("_m"))
+    match = lambda left, right, names: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in names]
+    own = Window.partitionBy(*keys, "_bin").orderBy("_p")
+    ranked = counts.alias("c").join(F.broadcast(bins).alias("b"), match("c", "b", [*keys, "_bin"])).select(*[F.col(f"c.{k}").alias(k) for k in by], F.col("c._bin").alias("_bin"), "_n", "_base", "_m")
+    raw = F.col("_p") * F.col("_m") / (F.col("_base") + F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("_raw", raw)
+    least = ranked.groupBy(*keys, "_bin").agg(F.min("_raw").alias("_least"))
+    later = least.select(*keys, "_bin", F.min("_least").over(above).alias("_later"))
+    inner = ranked.withColumn("_here", F.min("_raw").over(own.rowsBetween(0, Window.unboundedFollowing)))
+    done = inner.alias("i").join(F.broadcast(later).alias("l"), match("i", "l", [*keys, "_bin"])).select(*[F.col(f"i.{k}").alias(f"_k_{k}") for k in by], F.least(F.lit(1.0), F.col("_here"), F.coalesce("_later", F.lit(1.0))).alias("adjusted_p"))
+    on = [F.col(p) == F.col("_k__p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    return df.join(done, on, "left").drop(*[f"_k_{k}" for k in by]).withColumn("significant", F.coalesce(F.col("adjusted_p") <= q, F.lit(False)))
+
+
+def one_sided(df: DataFrame, other: DataFrame, columns: list[str], pair: VersionPair, config: DatasetConfig) -> DataFrame:
     """Active weeks and values of entities that the other version lacks: (entity_type, entity_id, week, v)."""
     ids = lambda d: d.select(_entities(columns).alias("e")).select("e.*").where("entity_id is not null").distinct()
     gone = ids(df).join(ids(other), ["entity_type", "entity_id"], "left_anti")
@@ -39,18 +50,24 @@ def _one_sided(df: DataFrame, other: DataFrame, columns: list[str], pair: Versio
 def replacement_candidates(previous: DataFrame, current: DataFrame, pair: VersionPair, config: DatasetConfig) -> DataFrame:
     """(entity_type, source_id, target_id, correlation, ratio, active_weeks): correlated pairs of like volume.
 
-    The correlation of zero-filled series needs only sums over active weeks: sum xy comes from a join on the week, so pairs
-    that never trade in one week are never made (their correlation is negative). No cross join, no grid of weeks.
+    A pair's volumes differ by at most the ratio bounds, so entities meet only in steps of the volume's logarithm that these
+    bounds span, before any week is read; sums over the pair's common weeks then give the correlation of zero-filled
+    series. No cross join, no grid of weeks.
     """
     columns, n = shared_entities(previous, current, config), len(pair.overlap_weeks)
-    moments = lambda d: d.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("active"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")).where(F.col("active") >= config.relationship_min_weeks)
-    old, new = _one_sided(previous, current, columns, pair, config), _one_sided(current, previous, columns, pair, config)
-    a, b = moments(old), moments(new)
-    x = old.join(a, ["entity_type", "entity_id"]).select("entity_type", F.col("entity_id").alias("source_id"), "week", F.col("v").alias("x"), F.col("active").alias("ax"), F.col("s").alias("sx"), F.col("ss").alias("sxx"))
-    y = new.join(b, ["entity_type", "entity_id"]).select("entity_type", F.col("entity_id").alias("target_id"), "week", F.col("v").alias("y"), F.col("active").alias("ay"), F.col("s").alias("sy"), F.col("ss").alias("syy"))
     low, high = config.relationship_ratio_bounds
-    ratio = F.col("sy") / F.when(F.abs("sx") > 1e-12, F.col("sx"))
-    pairs = x.join(y, ["entity_type", "week"]).where(ratio.between(low, high)).groupBy("entity_type", "source_id", "target_id", "ax", "sx", "sxx", "ay", "sy", "syy").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    moments = lambda d: d.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("active"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")).where((F.col("active") >= config.relationship_min_weeks) & (F.abs("s") > 1e-12))
+    old, new = one_sided(previous, current, columns, pair, config), one_sided(current, previous, columns, pair, config)
+    step = lambda x: F.floor(F.log2(F.abs(x))).cast("int")
+    a = moments(old).select("entity_type", F.col("entity_id").alias("source_id"), F.col("active").alias("ax"), F.col("s").alias("sx"), F.col("ss").alias("sxx"))
+    a = a.withColumn("step", F.explode(F.sequence(step(F.col("sx") * low), step(F.col("sx") * high))))
+    b = moments(new).select("entity_type", F.col("entity_id").alias("target_id"), F.col("active").alias("ay"), F.col("s").alias("sy"), F.col("ss").alias("syy"), step("s").alias("step"))
+    ratio = F.col("sy") / F.col("sx")
+    met = a.join(b, ["entity_type", "step"]).where(ratio.between(low, high)).drop("step")
+    x = old.select("entity_type", F.col("entity_id").alias("source_id"), "week", F.col("v").alias("x"))
+    y = new.select("entity_type", F.col("entity_id").alias("target_id"), "week", F.col("v").alias("y"))
+    common = met.join(x, ["entity_type", "source_id"]).join(y, ["entity_type", "target_id", "week"], "left")
+    pairs = common.groupBy("entity_type", "source_id", "target_id", "ax", "sx", "sxx", "ay", "sy", "syy").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("sxy"))
     vx, vy = F.col("sxx") / n - (F.col("sx") / n) ** 2, F.col("syy") / n - (F.col("sy") / n) ** 2
     corr = F.when((vx > 1e-24) & (vy > 1e-24), (F.col("sxy") / n - F.col("sx") * F.col("sy") / (n * n)) / F.sqrt(vx * vy))
     out = pairs.select("entity_type", "source_id", "target_id", F.least(corr, F.lit(1.0)).alias("correlation"), ratio.alias("ratio"), F.least("ax", "ay").alias("active_weeks"))
@@ -75,4 +92,4 @@ def replacements(previous: DataFrame, current: DataFrame, pair: VersionPair, con
     found = replacement_candidates(previous, current, pair, config)
     z = F.atanh(F.when(F.abs("correlation") < 1 - 1e-15, F.col("correlation"))) * max(n - 3, 0) ** 0.5
     tested = found.withColumn("p_value", F.coalesce(erfc(F.abs(z) / 2**0.5), F.lit(0.0)) if n >= 4 else F.lit(1.0))
-    return benjamini_hochberg(tested, q, "p_value", ["entity_type", "source_id", "target_id"]).where("significant")
+    return benjamini_hochberg(tested, q).where("significant")

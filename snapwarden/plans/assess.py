@@ -9,7 +9,7 @@ from datetime import datetime
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapwarden.config import DatasetConfig
@@ -20,8 +20,8 @@ from snapwarden.plans.approvals import RatioExpectation, apply_expectations, as_
 from snapwarden.sources.versions import CachedSource, VersionSource, mapped
 
 MACHINE_SCHEMA = 8
-#: Rows of evidence that a report names; statuses come from all rows.
-SHOWN = 200
+#: Ids of each class and entity type, and replacements, that a report names with the number of the others; statuses and labels come from all rows.
+SHOWN = 50
 
 
 @dataclass
@@ -36,6 +36,7 @@ class Result:
     cubes: dict[str, DataFrame] = field(default_factory=dict)
     temporal: DataFrame | None = None
     replacements: list[Any] = field(default_factory=list)
+    provider: policy.DecisionProvider = field(default_factory=policy.RuleProvider)
 
     @property
     def requires_investigation(self) -> bool:
@@ -60,6 +61,7 @@ def snapshot_manifest(source: VersionSource, versions: Sequence[str], config: Da
 def assess(
     source: VersionSource, config: DatasetConfig, current: str | None = None, previous: str | None = None, registry: Any = None, reference: DataFrame | None = None, reference_spec: checks.ReferenceSpec | None = None,
     expectations: Sequence[RatioExpectation] = (), observed_at: str | None = None, run_id: str | None = None, with_manifest: bool = True,
+    provider: policy.DecisionProvider | None = None,
 ) -> Result:
     cached = CachedSource(mapped(source, config), config)
     previous, current = pairs.select_versions(cached.list_versions(), current, previous)
@@ -67,7 +69,7 @@ def assess(
         ms = cached.snapshot_metadata(v).get("committed_ms")
         if observed_at and ms is not None and ms > datetime.fromisoformat(observed_at).timestamp() * 1000:
             raise ValueError(f"version {v!r} was committed after the observation time")
-    out = Result(run_id or uuid.uuid4().hex[:12], config.name)
+    out = Result(run_id or uuid.uuid4().hex[:12], config.name, provider=provider or policy.RuleProvider())
     out.machine = {"schema_version": MACHINE_SCHEMA, "run_id": out.run_id, "dataset": config.name, "observed_at": observed_at, "previous": previous, "current": current}
     kept: list[DataFrame] = []
     try:
@@ -85,17 +87,22 @@ def _finish(out: Result, config: DatasetConfig, facts: dict[str, Any]) -> None:
     out.findings = policy.with_options(out.findings, config.optional_checks)
     out.status = policy.status_of(out.findings)
     if config.decision_enabled:
-        out.machine["decisions"] = policy.decisions(policy.labels({"events": {}} | facts, config), out.status)
+        out.machine["decisions"] = out.provider.decide(policy.Evidence(**facts), config, out.status)
     out.machine |= {"status": out.status, "requires_investigation": out.requires_investigation, "findings": out.findings, "explained_by": {f.finding_id: list(f.approval_ids) for f in out.findings if f.outcome == "FAIL" and f.approval_ids}, "calendar": calendar_identity(config)}
 
 
 def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str, current: str, registry: list[dict[str, Any]], reference: DataFrame | None, spec: checks.ReferenceSpec | None, expectations: Sequence[RatioExpectation], observed_at: str | None, kept: list[DataFrame]) -> None:
     add = lambda *a, **k: out.findings.append(policy.Finding(*a, **k))
-    name, stage = config.name, config.analysis_stage
+    name = config.name
     shared = sorted(set(source.available_stages(previous)) & set(source.available_stages(current)))
+    if shared:  # a feed may lack the configured stages: the next in preference that both versions have is read
+        stage, contract = pairs.common_stage(shared, shared, config.analysis_stages), pairs.common_stage(shared, shared, config.contract_stages)
+    else:
+        stage, contract = config.analysis_stage, config.contract_stage
+    out.machine["stages"] = {"analysis": stage, "contract": contract}
     for d in config.required_dimensions:
         add(f"input:dimension:{d}", name, "PASS" if source.read_dim(previous, d) is not None and source.read_dim(current, d) is not None else "UNAVAILABLE")
-    for s in dict.fromkeys((stage, config.contract_stage)):
+    for s in dict.fromkeys((stage, contract)):
         add(f"input:stage:{s}", name, "PASS" if s in shared else "UNAVAILABLE")
     if stage not in shared:
         return _finish(out, config, {})
@@ -106,7 +113,7 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
             add(f"contracts:{s}:{c.name}", name, "PASS" if c.passed else "CONTRACT_FAILURE", detail=c.detail)
             failed += [] if c.passed else [f"{s}:{c.name}"]
     if failed:
-        return _finish(out, config, {"failed_contracts": failed})
+        return _finish(out, config, {"failed_contracts": tuple(failed)})
 
     p, c = source.typed(previous, stage), source.typed(current, stage)
     pair = out.pair = pairs.build_pair(p, c, config, previous, current, stage, stage)
@@ -128,7 +135,9 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
     events = lifecycle.all_events(p, c, pair, config, *dims).persist(StorageLevel.MEMORY_AND_DISK)
     kept.append(events)
     out.events = events
-    out.replacements = [r.asDict() for r in relationships.replacements(p, c, pair, config).orderBy("entity_type", "source_id", "target_id").limit(SHOWN).collect()]
+    merges = relationships.replacements(p, c, pair, config).persist(StorageLevel.MEMORY_AND_DISK)
+    kept.append(merges)
+    out.replacements = [r.asDict() for r in merges.orderBy("entity_type", "source_id", "target_id").limit(SHOWN).collect()]
     approved = attribution.registry_frame(c.sparkSession, [e for e in registry if observed_by(e, observed_at)], config)
     matched = attribution.match_approvals(events, approved, config, latest).persist(StorageLevel.MEMORY_AND_DISK)
     kept.append(matched)
@@ -167,11 +176,11 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
             if approval:
                 add(check, f"{r.entity_type}:{r.entity_id}:{r.classification}", "FAIL", approval_ids=(approval,))
 
-    report = source.typed(current, config.contract_stage) if config.contract_stage in shared else None
-    state, found, flags = checks.reconcile(c, report, config, pair.new_periods, config.contract_stage == stage)
+    report = source.typed(current, contract) if contract in shared else None
+    state, found, flags = checks.reconcile(c, report, config, pair.new_periods, contract == stage)
     for x in found:
         add(f"reconciliation:{x.name}", name, {"SKIPPED": "UNAVAILABLE", "NOT_APPLICABLE": "SKIPPED"}.get(x.status, x.status), required=x.status != "NOT_APPLICABLE", detail=x.detail)
-    audit = apply_expectations([{"metric": "dollar_per_unit", "week": f["week"], "ratio": f["ratio"]} for f in flags], expectations, name, observed_at)
+    audit = apply_expectations([{"metric": "dollar_per_unit", "week": f["week"], "ratio": f["ratio"]} for f in flags], expectations, name, observed_at, c.sparkSession)
     for f in audit["expected"] + audit["unexpected"]:
         add("ratio:dollar_per_unit", str(f["week"]), "FAIL", approval_ids=(f["explained_by"],) if "explained_by" in f else (), period=f["week"])
     for x in checks.hierarchy_checks(c, config):
@@ -188,12 +197,23 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
     if config.temporal_enabled and not pair.new_periods:
         for m in config.temporal_metrics:
             add("temporal", name, "UNAVAILABLE", metric=m, required=config.temporal_required and m in config.required_temporal_metrics)
-    shown = events.select("classification", "entity_type", "entity_id").orderBy("classification", "entity_type", "entity_id").limit(SHOWN).collect()
-    by: dict[str, list[tuple[str, str]]] = {}
-    for r in shown:
-        by.setdefault(r.classification, []).append((r.entity_type, r.entity_id))
-    out.machine["events"] = {"counts": {r.classification: r["count"] for r in events.groupBy("classification").count().collect()}, "shown": by}
-    _finish(out, config, {"replacements": [(r["source_id"], r["target_id"]) for r in out.replacements], "events": by, "material_absences": material_types, "attribution": a, "unmatched": a["unmatched"], "restated_weeks": [r.week for r in weeks], "first_divergence": trail["first_divergence"], "anomalies": anomalies})
+    every, moved = event_groups(events), F.col("classification") == lifecycle.RECLASSIFIED
+    out.machine["events"] = {"counts": {k: sum(g.count for g in every if g.classification == k) for k in sorted({g.classification for g in every})}, "shown": {k: [(g.entity_type, i) for g in every if g.classification == k for i in g.ids] for k in sorted({g.classification for g in every})}}
+    taken = merges.select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+    if "details" in events.columns:
+        taken = taken.unionByName(events.where(moved).select(F.explode(F.array("details.from_commodity", "details.to_commodity")).alias("entity_id")))
+    free = event_groups(events.where(~moved).join(taken.distinct(), "entity_id", "left_anti"))
+    facts = {"events": free, "merged": tuple((r["source_id"], r["target_id"]) for r in out.replacements), "n_merged": merges.count(), "moves": tuple(g for g in every if g.classification == lifecycle.RECLASSIFIED)}
+    _finish(out, config, facts | {"material_absences": tuple(material_types), "attribution": a, "unmatched": a["unmatched"], "restated_weeks": tuple(r.week for r in weeks), "first_divergence": trail["first_divergence"], "anomalies": tuple(anomalies)})
+
+
+def event_groups(events: DataFrame, shown: int = SHOWN) -> tuple[policy.Group, ...]:
+    """All events by class and entity type, with their number and the first ids of each: a few rows come to the driver, whatever the events are."""
+    keys = ["classification", "entity_type"]
+    counts = {(r.classification, r.entity_type): r["count"] for r in events.groupBy(*keys).count().collect()}
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("entity_id"))
+    first = events.select(*keys, "entity_id").withColumn("place", place).where(F.col("place") <= shown).orderBy(*keys, "place").collect()
+    return tuple(policy.Group(k, t, n, tuple(r.entity_id for r in first if (r.classification, r.entity_type) == (k, t))) for (k, t), n in sorted(counts.items()))
 
 
 def _latest(out: Result, previous: DataFrame, current: DataFrame, events: DataFrame, pair: pairs.VersionPair, config: DatasetConfig, kept: list[DataFrame]) -> list[str]:

@@ -30,6 +30,9 @@ CREATE TABLE IF NOT EXISTS assessments (assessment_id TEXT PRIMARY KEY, dataset
 CREATE TABLE IF NOT EXISTS attempts (attempt_id INTEGER PRIMARY KEY, assessment_id TEXT NOT NULL, started_at TEXT NOT NULL, ended_at TEXT, outcome TEXT, detail TEXT);
 """
 
+#: Columns that older schemas lack.
+_ADDED = {"runs": {"machine": "TEXT NOT NULL DEFAULT '{}'"}, "assessments": {"artifacts": "TEXT NOT NULL DEFAULT '{}'", "checksums": "TEXT NOT NULL DEFAULT '{}'"}, "attempts": {"ended_at": "TEXT", "outcome": "TEXT", "detail": "TEXT"}}
+
 
 def utc(value: str | None = None) -> str:
     """An ISO time in UTC; a time without zone is UTC."""
@@ -47,8 +50,15 @@ class Journal:
         version = self.db.execute("PRAGMA user_version").fetchone()[0]
         if version > JOURNAL_VERSION:
             raise ValueError(f"the journal has a newer schema ({version})")
-        if 0 < version < JOURNAL_VERSION:
-            shutil.copy2(path, f"{path}.v{version}.bak")
+        older = self.db.execute("SELECT count(*) FROM sqlite_master WHERE type = 'table' AND name = 'runs'").fetchone()[0]
+        if older and version < JOURNAL_VERSION:
+            with contextlib.closing(sqlite3.connect(f"{path}.v{version}.{utc().replace(':', '')}.bak")) as copy:
+                self.db.backup(copy)  # pages still in the write-ahead log are in it too
+            for table, columns in _ADDED.items():
+                have = {r["name"] for r in self.db.execute(f"PRAGMA table_info({table})")}
+                for name, kind in columns.items():
+                    if have and name not in have:
+                        self.db.execute(f"ALTER TABLE {table} ADD COLUMN {name} {kind}")
         self.db.executescript(_TABLES)
         self.db.execute(f"PRAGMA user_version={JOURNAL_VERSION}")
 

@@ -62,7 +62,7 @@ def propose(found: Mapping[str, Any], name: str, rename: Mapping[str, str] | Non
     if not found["week_column"] or not metrics:
         raise ValueError("a week column and a measure are needed")
     week = canonical(found["week_column"])
-    return {"name": name, "week_column": week, "entity_columns": entities, "metric_columns": metrics, "primary_metric": metrics[0], "required_columns": [week, metrics[0]], "entity_key_columns": entities, "report_grain": [], "snapshot_metrics": [m for m in metrics[1:] if "stock" in m.lower()], "count_entity_map": [], "hierarchy_columns": [], "hierarchy_intersections": [], "temporal_entity_columns": entities[:2], "explanation_entity_types": [e.removesuffix("_id") for e in entities], "column_map": sorted((rename or {}).items())}
+    return {"name": name, "week_column": week, "entity_columns": entities, "metric_columns": metrics, "primary_metric": metrics[0], "required_columns": [week, metrics[0]], "entity_key_columns": entities, "report_grain": [], "snapshot_metrics": [m for m in metrics[1:] if "stock" in m.lower()], "unit_value_metric": "dollar" if "dollar" in metrics else "", "unit_value_quantity": "units" if "units" in metrics else "", "count_entity_map": [], "hierarchy_columns": [], "hierarchy_intersections": [], "temporal_entity_columns": entities[:2], "explanation_entity_types": [e.removesuffix("_id") for e in entities], "column_map": sorted((rename or {}).items())}
 
 
 def proposed_config(proposal: Mapping[str, Any]) -> DatasetConfig:

@@ -8,9 +8,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snapwarden.evaluate import feeds, scores
+from snapwarden.functions import aggregates
 from snapwarden.operators import attribution, checks, contracts, cubes, fingerprints, lifecycle, pairs, relationships
-from snapwarden.plans import series
-from snapwarden.sources.derived import CONFIG, table, versions, weekly_fact
+from snapwarden.plans import approvals, series
+from snapwarden.sources import versions as feeds_in
+from snapwarden.sources.derived import CONFIG, table, versions, written_fact
+from snapwarden.world import faults
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,14 +73,15 @@ def r3_cube_summary(previous, current):
 
 @raw_query
 def a1_aggregate(spark, sf_dir):
-    return rounded(weekly_fact(spark, sf_dir).groupBy("week", "banner_id", "state_id").agg(F.sum("dollar").alias("dollar"), F.sum("units").alias("units"), F.count_distinct("store_id").alias("store_count"), F.count_distinct("product_id").alias("product_count")), dollar=6)
+    counted = written_fact(spark, sf_dir).withColumns({"store_count": F.lit(0), "product_count": F.lit(0)})
+    return rounded(cubes.aggregate(counted, ["week", "banner_id", "state_id"], CONFIG), dollar=6)
 
 
 @query
 def a3_hierarchy_levels(previous, current):
-    cells = checks.hierarchy(current, CONFIG, distinct=False)
+    cells = checks.hierarchy(current, CONFIG)
     columns = ["store_id", "product_id", "commodity_id", "banner_id", "state_id"]
-    return rounded(cells.select("level", "week", *columns, "dollar", "units"), dollar=6)
+    return rounded(cells.select("level", "week", *columns, "dollar", "units", "store_count", "product_count"), dollar=6)
 
 
 @query
@@ -97,7 +102,7 @@ def a11_top_contributors(previous, current):
 
 @query
 def a15_fingerprint(previous, current):
-    return rounded(fingerprints.fingerprint(current, CONFIG).drop("entity_hash"), sum_dollar=2)
+    return rounded(fingerprints.fingerprint(current, CONFIG), sum_dollar=2)
 
 
 @query
@@ -119,10 +124,10 @@ def a13_null_fraction(previous, current):
 
 
 @query
-def a27_correlation_of_store_and_total(previous, current):
-    weekly = current.groupBy("week").agg(F.sum("dollar").alias("total"))
-    stores = current.groupBy("week", "banner_id").agg(F.sum("dollar").alias("own"))
-    return rounded(stores.join(weekly, "week").groupBy("banner_id").agg(F.corr("own", "total").alias("correlation")), correlation=6)
+def a27_correlation_of_banner_and_total(previous, current):
+    s = series.long_series(current, CONFIG, ["dollar"])
+    total = s.where("series_id = 'national'").select("week", F.col("value").alias("total"))
+    return rounded(aggregates.correlation(s.where("series_id like 'banner_id:%'").join(total, "week"), ["series_id"], "value", "total"), correlation=6)
 
 
 # --- contracts and pairs
@@ -167,14 +172,15 @@ def l4_missing_entity_impact(previous, current):
 
 @query
 def l5_reclassification(previous, current):
-    got = lifecycle.reclassifications(previous, current, pair_of(previous, current), CONFIG).drop("products", "entity_id")
+    got = lifecycle.reclassifications(previous, current, pair_of(previous, current), CONFIG)
+    got = got.withColumn("products", F.array_join("products", ","))
     return rounded(got, moved_previous=2, moved_current=2, from_delta=2, to_delta=2, gross_moved=2, conservation_ratio=R8)
 
 
 @query
 def l6_replacements(previous, current):
     got = relationships.replacements(previous, current, pair_of(previous, current), CONFIG)
-    return rounded(got.select("entity_type", "source_id", "target_id", "correlation", "ratio", "active_weeks"), correlation=6, ratio=6)
+    return rounded(got, correlation=6, ratio=6, p_value=6, adjusted_p=6)
 
 
 # --- attribution
@@ -191,9 +197,9 @@ def _registry(current) -> DataFrame:
 @query
 def at3_registry_match(previous, current):
     p = pair_of(previous, current)
-    e = lifecycle.entity_changes(previous, current, p, CONFIG).where("entity_type = 'store'")
+    e = lifecycle.entity_changes(previous, current, p, CONFIG)
     got = attribution.match_approvals(e, _registry(current), CONFIG, p.current_max_week)
-    return got.select("entity_id", "classification", "approval", "absence_approval")
+    return got.select("entity_type", "entity_id", "classification", "approval", "absence_approval")
 
 
 @query
@@ -223,16 +229,28 @@ def at1_explain_revision(previous, current):
     p = pair_of(previous, current)
     e = lifecycle.all_events(previous, current, p, CONFIG).persist()
     m = attribution.match_approvals(e, _registry(current), CONFIG, p.current_max_week).persist()
-    a = attribution.explain(cubes.revision_cube(previous, current, CONFIG.base_keys, CONFIG, [357]), m, CONFIG, attribution.explanation_type(e, CONFIG))
+    try:
+        a = attribution.explain(cubes.revision_cube(previous, current, CONFIG.base_keys, CONFIG, [357]), m, CONFIG, attribution.explanation_type(e, CONFIG))
+    finally:
+        m.unpersist()
+        e.unpersist()
     names = ("raw_delta", "gross_delta", "explained_added", "explained_removed", "unexplained_delta")
-    return current.sparkSession.createDataFrame([(*[round(a[n], 2) for n in names], round(a["explained_fraction"], 8), a["material"], a["structural"], a["unmatched"])], ", ".join(f"{n} double" for n in names) + ", explained_fraction double, material boolean, structural long, unmatched long")
+    row = (*[round(a[n], 2) for n in names], round(a["explained_fraction"], 8), a["material"], a["structural"], a["unmatched"], a["explanation_type"])
+    kinds = ", ".join(f"{n} double" for n in names) + ", explained_fraction double, material boolean, structural long, unmatched long, explanation_type string"
+    return current.sparkSession.createDataFrame([row], kinds)
 
 
 # --- checks
 @query
 def cf1_counterfactual(previous, current):
-    e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG).where("entity_type = 'store'")
-    return rounded(checks.counterfactual(previous, current, e, CONFIG), raw_delta=2, explained_delta=2, reconstructed_delta=2, absolute_residual=2, previous_total=2, score=R8)
+    e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG)
+    got = checks.counterfactual(previous, current, e, CONFIG)
+    return rounded(got, raw_delta=2, explained_delta=2, reconstructed_delta=2, absolute_residual=2, previous_total=2, score=R8)
+
+
+@query
+def cf2_entity_week_sums(previous, current):
+    return rounded(checks.entity_week_sums(current, "store_id", CONFIG), value=6)
 
 
 def _report(current):
@@ -244,8 +262,8 @@ def _report(current):
 @query
 def rc1_mass_balance(previous, current):
     got = checks.mass_balance(current, _report(current), CONFIG)
-    shown = got.select("measure", "keys", F.when(F.col("worst") > CONFIG.reconciliation_tolerance, F.round("worst", 6)).otherwise(0.0).alias("worst"), (F.col("worst") <= CONFIG.reconciliation_tolerance).alias("passed"), F.when(F.col("worst") > CONFIG.reconciliation_tolerance, F.col("worst_key.week")).alias("week"), "covered")
-    return shown
+    passed = F.col("worst") <= CONFIG.reconciliation_tolerance
+    return rounded(got.select("measure", "keys", "worst", passed.alias("passed"), F.when(~passed, F.col("worst_key.week")).alias("week"), "covered"), worst=6)
 
 
 @query
@@ -267,21 +285,19 @@ def rc4_price_outliers(previous, current):
 
 @query
 def a24_unit_value_by_week(previous, current):
-    return rounded(current.groupBy("week").agg(F.sum("dollar").alias("d"), F.sum("units").alias("u")).where("u > 0").select("week", (F.col("d") / F.col("u")).alias("ratio")), ratio=6)
+    return rounded(checks.unit_values(current, CONFIG), ratio=6)
 
 
 @query
 def a25_median_and_mad(previous, current):
-    weekly = current.groupBy("banner_id", "week").agg(F.sum("dollar").alias("v"))
-    middle = weekly.groupBy("banner_id").agg(F.median("v").alias("median"))
-    out = weekly.join(middle, "banner_id").groupBy("banner_id").agg(F.first("median").alias("median"), F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    return rounded(out, median=6, mad=6)
+    weekly = series.long_series(current, CONFIG, ["dollar", "units"])
+    return rounded(aggregates.median_and_mad(weekly, ["metric", "series_id"], "value"), median=6, mad=6)
 
 
 @query
 def a26_quantiles(previous, current):
-    weekly = current.groupBy("week").agg(F.sum("dollar").alias("v"))
-    return rounded(weekly.agg(*[F.percentile("v", p).alias(f"q{round(100 * p):02d}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]), **{f"q{k:02d}": 6 for k in (1, 5, 25, 50, 75, 95, 99)})
+    weekly = series.long_series(current, CONFIG, ["dollar", "units"])
+    return rounded(aggregates.quantiles(weekly, "value", CONFIG.forecast_quantiles, ["metric", "series_id"]), **{f"q{k:02d}": 6 for k in (1, 5, 25, 50, 75, 95, 99)})
 
 
 @query
@@ -313,6 +329,11 @@ def ln2_divergence(previous, current):
     return rounded(checks.divergence(previous, current, CONFIG.base_keys, F.col("week").between(1, 356), CONFIG), relative_divergence=R8)
 
 
+@query
+def ln3_week_revision(previous, current):
+    return rounded(checks.week_revision(previous, current, F.col("week").between(1, 356), CONFIG), revision=6, scale=6)
+
+
 @query
 def rf1_reference(previous, current):
     control = current.groupBy("week", "banner_id").agg((F.sum("dollar") * F.when(F.col("week") == 77, 1.02).otherwise(1.0)).alias("dollar"), F.sum("units").alias("units"))
@@ -328,62 +349,68 @@ def t1_dense_series(previous, current):
 
 @query
 def t2_seasonal_difference_scale(previous, current):
-    d = series.long_series(previous, CONFIG, ["dollar"]).where("series_id like 'commodity_id:%' or series_id = 'national'")
-    lag = d.withColumn("d", F.col("value") - F.lag("value", 52).over(Window.partitionBy("series_id").orderBy("week"))).where("d is not null")
-    middle = lag.groupBy("series_id").agg(F.median("d").alias("m"))
-    return rounded(lag.join(middle, "series_id").groupBy("series_id").agg((1.4826 * F.median(F.abs(F.col("d") - F.col("m")))).alias("scale")), scale=3)
+    return rounded(series.difference_scales(previous, CONFIG, ["dollar", "units"]), scale=4)
+
+
+@query
+def t3_forecast_quantiles(previous, current):
+    return rounded(series.forecasts(previous, CONFIG, ["dollar", "units"]), value=4)
+
+
+def _evidence(previous, current) -> DataFrame:
+    p = pair_of(previous, current)
+    return series.evidence(previous, current, p, lifecycle.entity_changes(previous, current, p, CONFIG), CONFIG, ["dollar", "units"])
+
+
+@query
+def t4_point_and_residual(previous, current):
+    got = _evidence(previous, current).where("support = 'model'")
+    return rounded(got.select("metric", "series_id", "target", "actual", "adjustment", "point", "scale", "standardized"), actual=4, adjustment=4, point=4, scale=4, standardized=6)
 
 
 @query
 def t5_robust_z(previous, current):
-    s = series.long_series(current, CONFIG, ["dollar"]).withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("week"))))
-    target = s.where("week = 357").select(F.col("series_id").alias("sid"), F.col("value").alias("target"))
-    recent = s.where("week < 357").withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("week")))).where("rank <= 13")
-    middle = recent.groupBy("series_id").agg(F.median("value").alias("m"))
-    spread = recent.join(middle, "series_id").groupBy("series_id").agg(F.first("m").alias("m"), (1.4826 * F.median(F.abs(F.col("value") - F.col("m")))).alias("scale"))
-    return rounded(spread.join(target, F.col("series_id") == F.col("sid")).select("series_id", ((F.col("target") - F.col("m")) / F.when(F.col("scale") > 1e-12, F.col("scale"))).alias("robust_z")), robust_z=6)
+    return rounded(_evidence(previous, current).where("support = 'model'").select("metric", "series_id", "robust_z"), robust_z=6)
 
 
 @query
 def t6_seasonal_z(previous, current):
-    s = series.long_series(current, CONFIG, ["dollar"])
-    target = s.where("week = 357").select(F.col("series_id").alias("sid"), F.col("value").alias("target"))
-    same = s.where("week < 357 and (357 - week) % 52 = 0")
-    middle = same.groupBy("series_id").agg(F.median("value").alias("m"), F.count(F.lit(1)).alias("n"))
-    spread = same.join(middle, "series_id").groupBy("series_id").agg(F.first("m").alias("m"), F.first("n").alias("n"), (1.4826 * F.median(F.abs(F.col("value") - F.col("m")))).alias("scale")).where("n >= 2")
-    return rounded(spread.join(target, F.col("series_id") == F.col("sid")).select("series_id", ((F.col("target") - F.col("m")) / F.when(F.col("scale") > 1e-12, F.col("scale"))).alias("seasonal_z")), seasonal_z=6)
+    return rounded(_evidence(previous, current).where("support = 'model'").select("metric", "series_id", "seasonal_z"), seasonal_z=6)
+
+
+@query
+def t7_ewma_z(previous, current):
+    return rounded(_evidence(previous, current).where("support = 'model'").select("metric", "series_id", "ewma_z"), ewma_z=6)
 
 
 @query
-def t7_ewma_level(previous, current):
-    points = series.long_series(previous, CONFIG, ["dollar"]).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("week", "value"))).alias("p"))
-    level = F.aggregate(F.expr("slice(p, 2, size(p))"), F.expr("p[0].value"), lambda a, x: a + F.lit(2 / 14) * (x["value"] - a))
-    return rounded(points.select("series_id", level.alias("level")), level=3)
+def t8_change_point(previous, current):
+    return rounded(_evidence(previous, current).where("support = 'model'").select("metric", "series_id", "change_point"), change_point=6)
 
 
 @query
-def t24_trailing_share_baseline(previous, current):
-    s = series.long_series(previous, CONFIG, ["dollar"])
-    total = s.where("series_id = 'national'").select(F.col("week").alias("w"), F.col("value").alias("t"))
-    shares = s.where("series_id <> 'national'").join(F.broadcast(total), F.col("week") == F.col("w")).where("t > 0").select("series_id", "week", (F.col("value") / F.col("t")).alias("share"))
-    recent = shares.withColumn("k", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("week")))).where("k <= 26")
-    got = recent.groupBy("series_id").agg(F.avg("share").alias("mean"), (F.stddev_samp("share") * F.sqrt(1 + 1 / F.count(F.lit(1)))).alias("spread"), F.count(F.lit(1)).alias("n")).where("n >= 8")
-    return rounded(got, mean=10, spread=10)
+def t24_share_test(previous, current):
+    got = _evidence(previous, current).where("share_method is not null")
+    shown = got.select("metric", "series_id", "share_method", "share_n", "share_t", "share_spread", "share_level", "share_impact")
+    return rounded(shown, share_t=5, share_spread=8, share_level=8, share_impact=2)
 
 
 @query
-def t21_year_ago_share(previous, current):
-    s = series.long_series(previous, CONFIG, ["dollar"])
-    total = s.where("series_id = 'national'").select(F.col("week").alias("w"), F.col("value").alias("t"))
-    shares = s.where("series_id like 'commodity%'").join(F.broadcast(total), F.col("week") == F.col("w")).where("t > 0").select("series_id", "week", (F.col("value") / F.col("t")).alias("share"))
-    near = Window.partitionBy("series_id").orderBy("week").rangeBetween(-53, -51)
-    return rounded(shares.withColumn("year_ago", F.avg(F.when(F.col("share") > 0, F.col("share"))).over(near)).where("year_ago is not null and share > 0").select("series_id", "week", F.log(F.col("share") / F.col("year_ago")).alias("change")), change=R8)
+def j20_share_of_parent(previous, current):
+    return rounded(series.share_history(previous, CONFIG, ["dollar", "units"]).select("metric", "series_id", "week", "share"), share=10)
+
+
+@query
+def j21_year_ago_share(previous, current):
+    got = series.share_history(previous, CONFIG, ["dollar", "units"]).where("year_ago is not null and share > 0")
+    return rounded(got.select("metric", "series_id", "week", F.log(F.col("share") / F.col("year_ago")).alias("change")), change=R8)
 
 
 @query
 def t29_benjamini_hochberg(previous, current):
-    weekly = current.groupBy("store_id").agg((F.pmod(F.sum("units").cast("long") * 7919, F.lit(1000)) / 1000.0 * F.when(F.col("store_id").cast("int") % 7 == 0, 0.001).otherwise(1.0)).alias("p_value"))
-    return rounded(relationships.benjamini_hochberg(weekly.where("p_value is not null"), 0.05, "p_value", ["store_id"]), p_value=10, adjusted_p=10)
+    number = F.expr("try_cast(store_id as int)")
+    weekly = current.groupBy("store_id").agg((F.pmod(F.sum("units").cast("long") * 7919, F.lit(1000)) / 1000.0 * F.when(number % 7 == 0, 0.001).otherwise(1.0)).alias("p_value"))
+    return rounded(relationships.benjamini_hochberg(weekly, 0.05), p_value=10, adjusted_p=10)
 
 
 @query
@@ -394,11 +421,8 @@ def t32_new_entity_adjustments(previous, current):
 
 
 @query
-def t33_series_evidence(previous, current):
-    p = pair_of(previous, current)
-    e = lifecycle.entity_changes(previous, current, p, CONFIG)
-    got = series.evidence(previous, current, p, e, CONFIG, ["dollar", "units"])
-    return got.select("metric", "series_id", "target", "reason", "required", "support", "point", "scale", "standardized", "robust_z", "seasonal_z", "ewma_z", "change_point", "share_t", "share_p", "share_method")
+def t33_series_reasons(previous, current):
+    return _evidence(previous, current).select("metric", "series_id", "target", "reason", "required", "support", "history_observed")
 
 
 @query
@@ -418,23 +442,22 @@ def p4_without_entities(previous, current):
 
 @query
 def u4_weeks_gained_and_lost(previous, current):
-    e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG).where("entity_type = 'store'")
-    rows = lambda c, how: e.select("entity_id", F.explode(c).alias("week"), F.lit(how).alias("how"))
+    e = lifecycle.entity_changes(previous, current, pair_of(previous, current), CONFIG)
+    rows = lambda c, how: e.select("entity_type", "entity_id", F.explode(c).alias("week"), F.lit(how).alias("how"))
     return rows("historical_weeks_added", "added").unionByName(rows("historical_weeks_removed", "removed"))
 
 
 @query
-def u5_one_sided_ids(previous, current):
-    a, b = previous.select("store_id").distinct(), current.select("store_id").distinct()
-    return a.join(b, "store_id", "left_anti").withColumn("side", F.lit("previous")).unionByName(b.join(a, "store_id", "left_anti").withColumn("side", F.lit("current")))
+def u5_one_sided_entities(previous, current):
+    p, columns = pair_of(previous, current), list(CONFIG.entity_columns)
+    side = lambda a, b, n: relationships.one_sided(a, b, columns, p, CONFIG).withColumn("side", F.lit(n))
+    return rounded(side(previous, current, "previous").unionByName(side(current, previous, "current")), v=6)
 
 
 @query
 def k7_worst_key(previous, current):
-    cube = cubes.revision_cube(previous, current, CONFIG.headline_keys, CONFIG, [357]).where("period = 'overlap'")
-    key = F.struct("week", "banner_id", "state_id")
-    worst = cube.agg(F.min_by(key, F.struct(-F.round(F.abs("dollar_delta"), 2), key)).alias("k"), F.max(F.round(F.abs("dollar_delta"), 2)).alias("worst"))
-    return worst.select("k.week", "k.banner_id", "k.state_id", "worst")
+    got = checks.mass_balance(current, _report(current), CONFIG).where("measure = 'dollar'")
+    return rounded(got.select("worst_key.week", "worst_key.banner_id", "worst_key.state_id", "worst"), worst=6)
 
 
 @raw_query
@@ -446,33 +469,67 @@ def s14_epoch_weeks(spark, sf_dir):
 
 @raw_query
 def s17_wide_feed_to_weekly(spark, sf_dir):
-    """A feed with one column per event type, unpivoted and summed by week, user and type; zero rows are left out."""
+    """The events as a feed with one column per day, read back by week, user and type."""
     ev = table(spark, sf_dir, "events")
-    day = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7).cast("int")
-    kinds = ["view", "click", "purchase", "signup", "logout"]
-    wide = ev.groupBy(day.alias("week"), "user_id").agg(*[F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)).alias(k) for k in kinds])
-    long = wide.unpivot(["week", "user_id"], kinds, "event_type", "value")
-    return rounded(long.where("value <> 0"), value=6)
+    days = [str(r[0]) for r in ev.select(F.col("ts").cast("date")).distinct().orderBy("ts").collect()]
+    wide = ev.groupBy("user_id", "event_type").agg(*[F.coalesce(F.sum(F.when(F.col("ts").cast("date") == F.lit(d).cast("date"), F.col("value"))), F.lit(0.0)).alias(d) for d in days])
+    calendar = spark.createDataFrame([(d,) for d in days], "day string").withColumn("week", F.floor(F.datediff(F.col("day").cast("date"), F.lit("2024-01-01").cast("date")) / 7).cast("int"))
+    return rounded(feeds_in.weekly_long(wide, days, ["user_id", "event_type"], calendar, "value"), value=6)
+
+
+@raw_query
+def s18_daily_sales_to_weekly(spark, sf_dir):
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product"), F.col("p_type").alias("commodity_id"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("state_id"))
+    stores = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("store"), "state_id")
+    return feeds_in.weekly_sales(table(spark, sf_dir, "lineitem"), products, stores, "1995-01-02", day="l_shipdate", store="l_suppkey", product="l_partkey", value="l_quantity")
 
 
 @query
 def x7_real_absences(previous, current):
-    before = previous.where("week = 356").select("store_id").distinct()
-    now = current.where("week = 357").select("store_id").distinct()
-    return before.join(now, "store_id", "left_anti").join(current.groupBy("store_id").agg(F.min("week").alias("first_week")), "store_id")
+    return feeds.real_absences(current, 357, list(CONFIG.entity_columns), CONFIG)
+
+
+@query
+def x8_share_rules(previous, current):
+    p = lambda a, b: F.pmod(F.sum("units").cast("long") * a, F.lit(b)) / float(b)
+    tests = current.groupBy("week", F.col("store_id").alias("series_id")).agg((p(7919, 1009) * 0.05).alias("trailing_p"), F.when(F.sum("units") % 5 > 0, p(104729, 997)).alias("seasonal_p"))
+    tests = tests.withColumns({"p": F.least("trailing_p", F.coalesce("seasonal_p", F.lit(1.0))), "planted": F.col("series_id").endswith("7")})
+    return feeds.score_share_rule(feeds.add_share_rules(tests), "bonferroni", 0.05)
+
+
+@query
+def a32_sweep_summary(previous, current):
+    own = current.groupBy("store_id").agg(F.first("banner_id").alias("family"), F.first("state_id").cast("double").alias("magnitude"), (F.sum("units").cast("long") % 3 == 0).alias("flagged"), F.round(F.sum("dollar"), 2).alias("effect"))
+    return scores.sweep_summary(own)
+
+
+@query
+def a33_case_metrics(previous, current):
+    n = F.sum("units").cast("long")
+    own = current.groupBy("store_id").agg(F.first("banner_id").alias("family"), (n % 3 == 0).alias("flagged"), (n % 2 == 0).alias("actionable"), (n % 13).cast("double").alias("latency_weeks"))
+    return scores.metrics_frame(own, ["family"])
 
 
 @query
 def a21_effect_delta(previous, current):
-    mask = F.col("product_id").cast("int") % 97 == 3
-    one = lambda df, n: df.where(mask & (F.col("week") <= 340)).agg(F.coalesce(F.sum("dollar"), F.lit(0.0)).alias("dollar"), F.coalesce(F.sum("units"), F.lit(0.0)).alias("units"), F.count(F.lit(1)).alias("rows")).withColumn("version", F.lit(n))
-    return rounded(one(previous, "previous").unionByName(one(current, "current")), dollar=2)
+    return rounded(faults.effect(previous, current, (F.col("product_id").cast("int") % 97 == 3) & (F.col("week") <= 340)), dollar=2)
 
 
 @query
 def a23_split_effects(previous, current):
-    tag = previous.withColumn("n", F.lit(-1)).unionByName(current.withColumn("n", F.lit(1)))
-    return rounded(tag.groupBy("commodity_id").agg(F.sum(F.col("dollar") * F.col("n")).alias("dollar"), F.sum(F.col("units") * F.col("n")).alias("units")), dollar=2)
+    return rounded(attribution.split_effects(previous, current, "commodity_id", ["dollar", "units"]), dollar=2)
+
+
+@query
+def ex1_expectations(previous, current):
+    """The price flags of two odd weeks against three expectations: one that covers a week, one too narrow, one not approved."""
+    odd = current.withColumn("dollar", F.when(F.col("week").isin(356, 357), F.col("dollar") * 2).otherwise(F.col("dollar")))
+    flags = checks.price_outliers(odd, CONFIG, [356, 357]).select((F.col("week") - 356).alias("number"), F.lit("dollar_per_unit").alias("flag_metric"), F.col("week").alias("flag_week"), F.col("ratio").alias("flag_ratio"))
+    band = {"dataset": CONFIG.name, "metric": "dollar_per_unit"}
+    given = [approvals.RatioExpectation("wide", **band, min_ratio=0.0, week=356, approved_by="a"), approvals.RatioExpectation("narrow", **band, max_ratio=1.0, approved_by="a"), approvals.RatioExpectation("open", **band, min_ratio=0.0)]
+    got = approvals.match_expectations(flags, approvals.expectation_table(current.sparkSession, given, None), CONFIG.name)
+    return got.select((F.col("number") + 356).alias("week"), F.array_join("covered.expectation_id", ",").alias("covered"), F.array_join("refused.reason", ",").alias("refused"))
 
 
 @query

@@ -8,9 +8,9 @@ in Arrow batches; the national series of a measure is joined to its leaves as tw
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,26 @@ def dense_series(df: DataFrame, config: DatasetConfig, metrics: Sequence[str]) -
     return out.select(F.col("_m").alias("metric"), F.col("_s").alias("series_id"), F.col("_w").alias("week"), "value", F.col("value").isNull().alias("missing"))
 
 
+def difference_scales(df: DataFrame, config: DatasetConfig, metrics: Sequence[str]) -> DataFrame:
+    """(metric, series_id, scale): the robust size of each series' seasonal differences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"metric": b.metric, "series_id": b.series_id, "scale": [stats.difference_scale([p["value"] for p in x], config.temporal_season) for x in b.points]})
+
+    rows = long_series(df, config, metrics).groupBy("metric", "series_id").agg(F.array_sort(F.collect_list(F.struct("week", "value"))).alias("points"))
+    return rows.mapInPandas(run, "metric string, series_id string, scale double")
+
+
+def share_history(df: DataFrame, config: DatasetConfig, metrics: Sequence[str]) -> DataFrame:
+    """(metric, series_id, week, share, year_ago): each leaf's share of the national total, and its mean positive share one season before, give or take a week."""
+    rows = long_series(df, config, metrics)
+    total = rows.where(F.col("series_id") == NATIONAL).select(F.col("metric").alias("m"), F.col("week").alias("w"), F.col("value").alias("t")).where("t > 0")
+    shares = rows.where(F.col("series_id") != NATIONAL).join(F.broadcast(total), (F.col("metric") == F.col("m")) & (F.col("week") == F.col("w"))).select("metric", "series_id", "week", (F.col("value") / F.col("t")).alias("share"))
+    near = Window.partitionBy("metric", "series_id").orderBy("week").rangeBetween(-config.temporal_season - 1, -config.temporal_season + 1)
+    return shares.withColumn("year_ago", F.avg(F.when(F.col("share") > 0, F.col("share"))).over(near))
+
+
 def new_entity_rows(current: DataFrame, events: DataFrame, config: DatasetConfig, weeks: Sequence[int]) -> DataFrame:
     """Rows of the given weeks that belong to any newly appearing entity, each row once."""
     rows = current.where(F.col(config.week_column).isin(*weeks))
@@ -76,6 +96,50 @@ def seasonal_forecast(history: Sequence[float], horizon: int, season: int) -> tu
     return point, max(width, 1e-4 * max(abs(point), 1.0), 1e-9)
 
 
+class Forecaster(Protocol):
+    """What gives a forecast: its name, and its quantiles at a horizon after a history."""
+
+    name: str
+
+    def predict(self, history: Sequence[float], horizon: int, quantiles: Sequence[float]) -> dict[float, float]: ...
+
+
+@dataclass(frozen=True)
+class BaselineForecaster:
+    """Last season's value with a normal error of the size of seasonal differences."""
+
+    season: int
+    name: str = "baseline"
+
+    def predict(self, history: Sequence[float], horizon: int, quantiles: Sequence[float]) -> dict[float, float]:
+        point, width = seasonal_forecast(history, horizon, self.season)
+        unit = width / stats.NORMAL.inv_cdf(0.95)
+        return {q: point + unit * stats.NORMAL.inv_cdf(q) for q in quantiles}
+
+
+FORECASTERS: dict[str, Callable[[DatasetConfig], Forecaster]] = {"baseline": lambda c: BaselineForecaster(c.temporal_season), "auto": lambda c: BaselineForecaster(c.temporal_season)}
+
+
+def get_forecaster(config: DatasetConfig) -> Forecaster:
+    """The forecaster that the settings name. "auto" selects a model for each series and has the baseline's errors as a scale."""
+    if config.forecaster not in FORECASTERS:
+        raise ValueError(f"unknown forecaster {config.forecaster!r}")
+    return FORECASTERS[config.forecaster](config)
+
+
+def forecasts(df: DataFrame, config: DatasetConfig, metrics: Sequence[str], horizon: int = 1) -> DataFrame:
+    """(metric, series_id, quantile, value): the forecaster's quantiles of ``forecast_quantiles`` for each series, one series a row."""
+    model = get_forecaster(config)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r.metric, r.series_id, q, v) for r in batch.itertuples(index=False) for q, v in model.predict([p["value"] for p in r.points], horizon, config.forecast_quantiles).items()]
+            yield pd.DataFrame(rows, columns=["metric", "series_id", "quantile", "value"])
+
+    rows = long_series(df, config, metrics).groupBy("metric", "series_id").agg(F.array_sort(F.collect_list(F.struct("week", "value"))).alias("points"))
+    return rows.mapInPandas(run, "metric string, series_id string, quantile double, value double")
+
+
 @dataclass(frozen=True)
 class Candidate:
     """A forecasting model: 'fixed' and 'naive' take last season's value, 'ridge' fits trend, Fourier terms and events."""
@@ -346,7 +410,7 @@ def decide(found: DataFrame, config: DatasetConfig) -> DataFrame:
     p = F.when(tested, F.col("share_p")).otherwise(F.least(F.lit(1.0), 2 * F.least(percentile, 1 - percentile)))
     seen = found.where("reason is null").withColumn("share_tested", tested).withColumn("p_value", p)
     if config.temporal_fdr_enabled:
-        seen = benjamini_hochberg(seen, config.temporal_fdr_q, "p_value", ["metric", "target", "series_id"])
+        seen = benjamini_hochberg(seen, config.temporal_fdr_q)
     else:
         seen = seen.withColumn("adjusted_p", F.col("p_value")).withColumn("significant", F.col("p_value") <= config.temporal_fdr_q)
     material = F.when(F.col("share_tested"), F.abs(F.coalesce("share_impact", F.lit(0.0))) >= F.col("materiality")).otherwise((F.col("point") == 0) | (F.abs("residual") >= F.col("materiality")))

@@ -6,6 +6,9 @@ history; products whose past is recalculated or whose category changes.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +43,35 @@ def weekly_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACT = ("week", "store_id", "product_id", "commodity_id", "banner_id", "state_id", "dollar", "units")
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def written_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weekly_fact from a table that a session writes once for each folder of input: what reads both versions, or one of them often, scans it instead of joining the order tables again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            return weekly_fact(spark, sf_dir)
+        path = f"{(root or 'file://' + tempfile.gettempdir() + '/snapwarden-facts').rstrip('/')}/weekly-fact-{uuid.uuid4().hex}"
+        weekly_fact(spark, sf_dir).write.parquet(path)
+        _written[key] = path
+        atexit.register(_forget, spark, path)
+    return spark.read.parquet(_written[key])
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended before
+        return
+
+
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The previous and the current version."""
-    fact, s, p, w = weekly_fact(spark, sf_dir), F.col("sk"), F.col("pk"), F.col("week")
+    fact, s, p, w = written_fact(spark, sf_dir), F.col("sk"), F.col("pk"), F.col("week")
     previous = fact.where((w < LAST_WEEK) & (s % 50 != 17) & ~((s % 50 == 19) & (w < 100)) & (p % 211 != 9)).select(*FACT)
     scale = F.when((p % 97 == 3) & (w <= 340), 0.9).otherwise(1.0) * F.when(s % 50 == 13, 1.1).otherwise(1.0)
     current = fact.where(~((s % 50 == 7) & (w == LAST_WEEK)) & ~((s % 50 == 11) & (w <= 20)))

@@ -320,6 +320,19 @@ def weekly_long(wide: DataFrame, days: Sequence[str], keys: Sequence[str], calen
     return long.join(F.broadcast(calendar), "day").groupBy("week", *keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
 
 
+def weekly_sales(sales: DataFrame, products: DataFrame, stores: DataFrame, first_day: str, *, day: str, store: str, product: str, value: str) -> DataFrame:
+    """A daily feed → week, store, product and their parents, units: sums without zeros, whole weeks from ``first_day`` on.
+
+    products: (product, commodity_id), stores: (store, state_id), each key once. Row groups are summed where they are read and
+    again after the shuffle. A sold row without a parent is an error."""
+    week = F.floor(F.datediff(F.col(day).cast("date"), F.lit(first_day).cast("date")) / 7).cast("int") + 1
+    sums = sales.select(week.alias("week"), F.col(store).alias("store"), F.col(product).alias("product"), F.col(value).alias("v")).where("week >= 1").groupBy("week", "store", "product").agg(F.sum("v").cast("double").alias("units")).where("units <> 0")
+    joined = checked_left_join(checked_left_join(sums, products, ["product"]), stores, ["store"])
+    if joined.where("commodity_id is null or state_id is null").limit(1).count():
+        raise ValueError("sold rows without a product group or a state")
+    return joined.select("week", F.concat(F.lit("S"), F.col("store").cast("string")).alias("store_id"), F.col("state_id").cast("string").alias("state_id"), F.col("commodity_id").cast("string").alias("commodity_id"), F.concat(F.lit("I"), F.col("product").cast("string")).alias("product_id"), "units")
+
+
 def checked_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A left join that refuses repeated keys on the right."""
     if right.groupBy(*keys).count().where("count > 1").limit(1).count():

@@ -77,6 +77,12 @@ def _scaled(df: DataFrame, cond: Column, factor: Column | float, measures: Seque
     return df.withColumns({m: F.when(cond, whole(m, F.col(m) * factor)).otherwise(F.col(m)) for m in measures if m in df.columns})
 
 
+def unused(ids: Sequence[str], first: int) -> str:
+    """The first store id from a number on that the world doesn't have."""
+    taken = set(ids)
+    return next(i for n in range(first, first + len(taken) + 1) if (i := f"S{n:03d}") not in taken)
+
+
 @injector("missing_stores")
 def missing_stores(df: DataFrame, c: Context) -> tuple[DataFrame, Case]:
     gone = c.pick(c.stores, round((c.size or 0.12) * len(c.stores)))
@@ -91,7 +97,7 @@ def missing_products(df: DataFrame, c: Context) -> tuple[DataFrame, Case]:
 
 @injector("new_store_backfill")
 def new_store_backfill(df: DataFrame, c: Context, family: str = "new_store_backfill") -> tuple[DataFrame, Case]:
-    model, new = c.pick(c.stores, 1)[0], "S9" + "00"
+    model, new = c.pick(c.stores, 1)[0], unused(c.stores, 900)
     factor = c.size or 0.6 + 0.8 * ((c.seed * 7919) % 1000) / 1000
     clone = _scaled(df.where(F.col("store_id") == model), F.lit(True), factor, ("dollar", "units", "scripts", "stock")).withColumn("store_id", F.lit(new))
     case = Case(family, {"store": [new]}, (1, c.week), {"factor": factor, "model": model})
@@ -157,7 +163,7 @@ def market_movement(df: DataFrame, c: Context) -> tuple[DataFrame, Case]:
 
 @injector("entity_merge")
 def entity_merge(df: DataFrame, c: Context) -> tuple[DataFrame, Case]:
-    old, new = c.pick(c.stores, 1)[0], "S8" + "00"
+    old, new = c.pick(c.stores, 1)[0], unused(c.stores, 800)
     own = F.col("store_id") == old
     merged = _scaled(df.where(own), F.lit(True), 0.9 + 0.2 * ((c.seed * 104729) % 1000) / 1000).withColumn("store_id", F.lit(new))
     return df.where(~own).unionByName(merged), Case("entity_merge", {"store": [old, new]}, (1, c.week))

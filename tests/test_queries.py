@@ -12,7 +12,7 @@ from snapwarden.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A sample for the unit tests; all are compared at a larger scale outside.
-SOME = ["r1_revision_cube_week", "a3_hierarchy_levels", "l1_entity_changes", "l3_absence_baseline", "at2_week_revisions", "cf1_counterfactual", "t24_trailing_share_baseline", "c_contract_facts"]
+SOME = ["r1_revision_cube_week", "a3_hierarchy_levels", "l1_entity_changes", "l3_absence_baseline", "at2_week_revisions", "cf1_counterfactual", "t24_share_test", "c_contract_facts"]
 
 
 @pytest.fixture(scope="module")

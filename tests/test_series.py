@@ -13,7 +13,7 @@ from snapwarden.functions.calendars import BusinessCalendar, easter
 from snapwarden.operators import lifecycle, pairs
 from snapwarden.plans import series
 
-C = replaced(DatasetConfig(), metric_columns=("dollar",), snapshot_metrics=(), entity_columns=("banner_id",), entity_key_columns=("banner_id",), temporal_entity_columns=("banner_id",), report_grain=(), count_entity_map=(), hierarchy_columns=(), hierarchy_intersections=(), temporal_min_history=26)
+C = replaced(DatasetConfig(), metric_columns=("dollar",), unit_value_quantity="", snapshot_metrics=(), entity_columns=("banner_id",), entity_key_columns=("banner_id",), temporal_entity_columns=("banner_id",), report_grain=(), count_entity_map=(), hierarchy_columns=(), hierarchy_intersections=(), temporal_min_history=26)
 
 
 @pytest.mark.parametrize("t,df,p", [(0, 10, 1.0), (2, 10, 0.07339), (3, 5, 0.03010), (-2.228, 10, 0.05)])
