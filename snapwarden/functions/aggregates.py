@@ -24,6 +24,7 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence
 
 
 def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """(keys, correlation): null where a side hardly varies (standard deviation of at most 1e-12)."""
-    varies = (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
-    return df.groupBy(*keys).agg(F.when(varies, F.corr(x, y)).alias("correlation"))
+    """(keys, correlation): of the rows with both values; null where a side hardly varies (standard deviation of at most 1e-12)."""
+    own = [F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c)) for c in (x, y)]
+    a, b = (F.stddev_pop(c) for c in own)
+    return df.groupBy(*keys).agg(F.try_divide(F.covar_pop(*own), F.when((a > 1e-12) & (b > 1e-12), a * b)).alias("correlation"))

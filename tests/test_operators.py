@@ -271,9 +271,15 @@ def test_fingerprints_ignore_order(spark):
 def test_adjusted_p_values(spark):
     from snapwarden.functions.stats import benjamini_hochberg
 
-    p = [0.001, 0.4, 0.6, 0.02, 0.02, 0.9]
-    df = spark.createDataFrame(list(enumerate(p)), "i int, p_value double")
-    got = {r.i: (r.adjusted_p, r.significant) for r in relationships.benjamini_hochberg(df, 0.05, "p_value", ["i"]).collect()}
+    p = [0.001, 0.4, 0.6, 0.02, 0.02, 0.9, 0.0, 1.0, 1e-300, 1.0]
+    df = spark.createDataFrame([*enumerate(p), (99, None)], "i int, p_value double")
+    got = {r.i: (r.adjusted_p, r.significant) for r in relationships.benjamini_hochberg(df, 0.05).collect()}
+    assert got.pop(99) == (None, False)
     want = benjamini_hochberg(p, 0.05)
-    assert all(got[i] == (pytest.approx(want[0][i]), want[1][i]) for i in got)
+    assert len(got) == len(p) and all(got[i] == (pytest.approx(want[0][i]), want[1][i]) for i in got)
+    by = df.withColumn("half", F.col("i") % 2)
+    got = {r.i: r.adjusted_p for r in relationships.benjamini_hochberg(by, 0.05, keys=["half"]).collect()}
+    for k in (0, 1):
+        own = benjamini_hochberg(p[k::2], 0.05)[0]
+        assert [got[i] for i in range(k, len(p), 2)] == pytest.approx(own)
     assert benjamini_hochberg([0.001, 0.4, 0.6], 0.05)[1] == [True, False, False]
