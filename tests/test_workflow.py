@@ -139,7 +139,10 @@ def test_cutoff_and_missing_stage(spark, manifest):
     source = versions.ParquetManifestSource(spark, manifest)
     with pytest.raises(ValueError):
         assess.assess(source, PLAIN, observed_at="2024-01-01T12:00:00+00:00")
-    assert assess.assess(source, replaced(PLAIN, analysis_stage="gone"), with_manifest=False).status == "INCOMPLETE"
+    other = assess.assess(source, replaced(PLAIN, analysis_stage="gone"), with_manifest=False)  # the next stage that both versions have is read
+    assert other.status == "PASS" and other.machine["stages"]["analysis"] == "fact"
+    apart = versions.FrameSource({"a": {"fact": rows(spark, 59)}, "b": {"raw": rows(spark, 60)}}, {})
+    assert assess.assess(apart, PLAIN, with_manifest=False).status == "INCOMPLETE"
 
 
 def test_status_precedence():
