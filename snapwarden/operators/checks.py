@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import Executor
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -258,8 +259,11 @@ def stage_increments(stages: Sequence[tuple[str, DataFrame, DataFrame]], weeks:
     return sums.select(name.alias("stage"), "position", F.when(F.col("scale") > 1e-12, F.col("own") / F.col("scale")).alias("increment"))
 
 
-def lineage(stages: Sequence[tuple[str, DataFrame, DataFrame]], pair: VersionPair, config: DatasetConfig) -> dict[str, Any]:
-    """The stage where versions first diverge: the largest material increment, else the first stage that differs at all."""
+def lineage(stages: Sequence[tuple[str, DataFrame, DataFrame]], pair: VersionPair, config: DatasetConfig, pool: Executor | None = None) -> dict[str, Any]:
+    """The stage where versions first diverge: the largest material increment, else the first stage that differs at all.
+
+    With ``pool`` the stages' small results are computed side by side.
+    """
     ordered = [s for name in config.pipeline_order for s in stages if s[0] == name]
     unmapped = [s[0] for s in stages if s[0] not in config.pipeline_order]
     if not ordered:
@@ -268,12 +272,18 @@ def lineage(stages: Sequence[tuple[str, DataFrame, DataFrame]], pair: VersionPai
     valued = [s for s in ordered if all(config.primary_metric in f.columns for f in s[1:])]
     increments = {r.stage: r.increment for r in stage_increments(valued, weeks, config).collect()} if valued else {}
     found = []
-    for name, p, c in ordered:
+
+    def measured(stage: tuple[str, DataFrame, DataFrame]) -> tuple[Any, dict[str, float]]:
+        name, p, c = stage
         keys = [config.week_column, *config.key_columns(name)]
         usable = all(k in f.columns for k in [*keys, config.primary_metric] for f in (p, c))
         d = divergence(p, c, keys, weeks, config).first() if usable else None
         own = [k for k in keys if k in p.columns and k in c.columns]
-        deltas = fingerprint_deltas(*(fingerprint(f.where(weeks), config, own).first().asDict() for f in (p, c)))
+        sides = [fingerprint(f.where(weeks), config, own).withColumn("side", F.lit(i)) for i, f in enumerate((p, c))]
+        before, after = (r.asDict() for r in sides[0].unionByName(sides[1], allowMissingColumns=True).orderBy("side").collect())
+        return d, fingerprint_deltas(*({k: v for k, v in r.items() if k in s.columns and k != "side"} for r, s in zip((before, after), sides, strict=True)))
+
+    for (name, _, _), (d, deltas) in zip(ordered, (pool.map if pool else map)(measured, ordered), strict=True):
         relative = d.relative_divergence if d else None
         changed = any(abs(v) > 1e-9 for v in deltas.values())
         rows = int(deltas.get("rows", 0))

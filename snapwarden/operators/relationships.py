@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,26 +39,29 @@ def benjamini_hochberg(df: DataFrame, q: float, p: str = "p_value", keys: Sequen
     return df.join(done, on, "left").drop(*[f"_k_{k}" for k in by]).withColumn("significant", F.coalesce(F.col("adjusted_p") <= q, F.lit(False)))
 
 
-def one_sided(df: DataFrame, other: DataFrame, columns: list[str], pair: VersionPair, config: DatasetConfig) -> DataFrame:
-    """Active weeks and values of entities that the other version lacks: (entity_type, entity_id, week, v)."""
-    ids = lambda d: d.select(_entities(columns).alias("e")).select("e.*").where("entity_id is not null").distinct()
-    gone = ids(df).join(ids(other), ["entity_type", "entity_id"], "left_anti")
-    own = df.where(pair.in_overlap(F.col(config.week_column))).select(_entities(columns).alias("e"), F.col(config.week_column).alias("week"), F.col(config.primary_metric).alias("m"))
-    weekly = own.groupBy("e.entity_type", "e.entity_id", "week").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("v")).where("v <> 0")
-    return weekly.join(gone, ["entity_type", "entity_id"], "left_semi")
+def one_sided(previous: DataFrame, current: DataFrame, columns: list[str], pair: VersionPair, config: DatasetConfig) -> DataFrame:
+    """Active weeks and values of entities that only one version has: (entity_type, entity_id, new, week, v)."""
+    week, m = config.week_column, config.primary_metric
+    side = lambda df, new: df.select(_entities(columns).alias("e"), F.col(week).alias("week"), F.col(m).alias("m"), F.lit(new).alias("new"))
+    both = side(previous, False).unionByName(side(current, True)).select("e.entity_type", "e.entity_id", "new", "week", "m").where("entity_id is not null")
+    alone = both.groupBy("entity_type", "entity_id").agg(F.min("new").alias("least"), F.max("new").alias("most")).where("least = most")
+    weekly = both.where(pair.in_overlap(F.col("week"))).groupBy("entity_type", "entity_id", "new", "week").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("v")).where("v <> 0")
+    return weekly.join(alone, ["entity_type", "entity_id"], "left_semi")
 
 
-def replacement_candidates(previous: DataFrame, current: DataFrame, pair: VersionPair, config: DatasetConfig) -> DataFrame:
+def replacement_candidates(previous: DataFrame, current: DataFrame, pair: VersionPair, config: DatasetConfig, kept: list[DataFrame] | None = None) -> DataFrame:
     """(entity_type, source_id, target_id, correlation, ratio, active_weeks): correlated pairs of like volume.
 
     A pair's volumes differ by at most the ratio bounds, so entities meet only in steps of the volume's logarithm that these
     bounds span, before any week is read; sums over the pair's common weeks then give the correlation of zero-filled
-    series. No cross join, no grid of weeks.
+    series. No cross join, no grid of weeks. With ``kept`` the weeks of one-sided entities are computed once and persisted;
+    the caller releases what is appended there.
     """
     columns, n = shared_entities(previous, current, config), len(pair.overlap_weeks)
     low, high = config.relationship_ratio_bounds
     moments = lambda d: d.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("active"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")).where((F.col("active") >= config.relationship_min_weeks) & (F.abs("s") > 1e-12))
-    old, new = one_sided(previous, current, columns, pair, config), one_sided(current, previous, columns, pair, config)
+    alone = _once(one_sided(previous, current, columns, pair, config), kept)
+    old, new = alone.where("not new"), alone.where("new")
     step = lambda x: F.floor(F.log2(F.abs(x))).cast("int")
     a = moments(old).select("entity_type", F.col("entity_id").alias("source_id"), F.col("active").alias("ax"), F.col("s").alias("sx"), F.col("ss").alias("sxx"))
     a = a.withColumn("step", F.explode(F.sequence(step(F.col("sx") * low), step(F.col("sx") * high))))
@@ -74,6 +78,14 @@ def replacement_candidates(previous: DataFrame, current: DataFrame, pair: Versio
     return out.where(F.col("correlation") >= config.relationship_correlation_threshold)
 
 
+def _once(df: DataFrame, kept: list[DataFrame] | None) -> DataFrame:
+    """df, persisted and noted where someone will release it."""
+    if kept is None:
+        return df
+    kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return kept[-1]
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0 to 1.2e-7, by a rational Chebyshev fit; it stays inside generated code."""
     t = 1 / (1 + 0.5 * x)
@@ -84,12 +96,12 @@ def erfc(x: Column) -> Column:
     return t * F.exp(-x * x + series)
 
 
-def replacements(previous: DataFrame, current: DataFrame, pair: VersionPair, config: DatasetConfig, q: float = 0.05) -> DataFrame:
-    """Candidates that stay significant together, by Fisher's z and Benjamini-Hochberg."""
+def replacements(previous: DataFrame, current: DataFrame, pair: VersionPair, config: DatasetConfig, q: float = 0.05, kept: list[DataFrame] | None = None) -> DataFrame:
+    """Candidates that stay significant together, by Fisher's z and Benjamini-Hochberg, which reads them several times."""
     n = len(pair.overlap_weeks)
     if n < config.relationship_min_weeks:
         return replacement_candidates(previous, current, pair, config).withColumns({"p_value": F.lit(1.0), "adjusted_p": F.lit(1.0), "significant": F.lit(False)}).limit(0)
-    found = replacement_candidates(previous, current, pair, config)
+    found = _once(replacement_candidates(previous, current, pair, config, kept), kept)
     z = F.atanh(F.when(F.abs("correlation") < 1 - 1e-15, F.col("correlation"))) * max(n - 3, 0) ** 0.5
     tested = found.withColumn("p_value", F.coalesce(erfc(F.abs(z) / 2**0.5), F.lit(0.0)) if n >= 4 else F.lit(1.0))
     return benjamini_hochberg(tested, q).where("significant")

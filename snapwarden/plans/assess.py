@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import Executor, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
@@ -20,6 +21,8 @@ from snapwarden.plans.approvals import RatioExpectation, apply_expectations, as_
 from snapwarden.sources.versions import CachedSource, VersionSource, mapped
 
 MACHINE_SCHEMA = 8
+#: Small results that the driver asks for side by side; each is a job of its own, so planning and short stages overlap.
+SIDE_BY_SIDE = 6
 #: Ids of each class and entity type, and replacements, that a report names with the number of the others; statuses and labels come from all rows.
 SHOWN = 50
 
@@ -43,13 +46,15 @@ class Result:
         return self.status not in ("PASS", "PASS_WITH_EXPLANATION")
 
 
-def snapshot_manifest(source: VersionSource, versions: Sequence[str], config: DatasetConfig) -> dict[str, Any]:
+def snapshot_manifest(source: VersionSource, versions: Sequence[str], config: DatasetConfig, pool: Executor | None = None) -> dict[str, Any]:
     """Digests of every stage and dimension of both versions, and the assessment's identity."""
     out: dict[str, Any] = {"config": fingerprints.digest(config.__dict__), "versions": {}}
+    frames = {(v, s): source.read_fact(v, s) for v in versions for s in sorted(source.available_stages(v))}
+    digests = dict(zip(frames, (pool.map if pool else map)(fingerprints.frame_digest, frames.values()), strict=True))
     for v in versions:
         own: dict[str, Any] = {"metadata": source.snapshot_metadata(v)}
         for s in sorted(source.available_stages(v)):
-            own[s] = fingerprints.frame_digest(source.read_fact(v, s))
+            own[s] = digests[v, s]
         for d in config.required_dimensions:
             frame = source.read_dim(v, d)
             own[f"dim:{d}"] = None if frame is None else fingerprints.frame_digest(frame)
@@ -73,9 +78,10 @@ def assess(
     out.machine = {"schema_version": MACHINE_SCHEMA, "run_id": out.run_id, "dataset": config.name, "observed_at": observed_at, "previous": previous, "current": current}
     kept: list[DataFrame] = []
     try:
-        if with_manifest:
-            out.machine["manifest"] = snapshot_manifest(cached, (previous, current), config)
-        _run(out, cached, config, previous, current, as_registry(registry).events(), reference, reference_spec, expectations, observed_at, kept)
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool, ThreadPoolExecutor(SIDE_BY_SIDE) as inner:
+            if with_manifest:
+                out.machine["manifest"] = snapshot_manifest(cached, (previous, current), config, pool)
+            _run(out, cached, config, previous, current, as_registry(registry).events(), reference, reference_spec, expectations, observed_at, kept, pool, inner)
     finally:
         for df in kept:
             df.unpersist()
@@ -91,7 +97,7 @@ def _finish(out: Result, config: DatasetConfig, facts: dict[str, Any]) -> None:
     out.machine |= {"status": out.status, "requires_investigation": out.requires_investigation, "findings": out.findings, "explained_by": {f.finding_id: list(f.approval_ids) for f in out.findings if f.outcome == "FAIL" and f.approval_ids}, "calendar": calendar_identity(config)}
 
 
-def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str, current: str, registry: list[dict[str, Any]], reference: DataFrame | None, spec: checks.ReferenceSpec | None, expectations: Sequence[RatioExpectation], observed_at: str | None, kept: list[DataFrame]) -> None:
+def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str, current: str, registry: list[dict[str, Any]], reference: DataFrame | None, spec: checks.ReferenceSpec | None, expectations: Sequence[RatioExpectation], observed_at: str | None, kept: list[DataFrame], pool: Executor, inner: Executor) -> None:
     add = lambda *a, **k: out.findings.append(policy.Finding(*a, **k))
     name = config.name
     shared = sorted(set(source.available_stages(previous)) & set(source.available_stages(current)))
@@ -108,8 +114,9 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
         return _finish(out, config, {})
 
     failed = []
-    for s in shared:
-        for c in contracts.validate(source.read_fact(current, s), source.read_fact(previous, s), config, s):
+    both = [(s, source.read_fact(current, s), source.read_fact(previous, s)) for s in shared]
+    for s, checked in zip(shared, pool.map(lambda x: contracts.validate(x[1], x[2], config, x[0]), both), strict=True):
+        for c in checked:
             add(f"contracts:{s}:{c.name}", name, "PASS" if c.passed else "CONTRACT_FAILURE", detail=c.detail)
             failed += [] if c.passed else [f"{s}:{c.name}"]
     if failed:
@@ -119,6 +126,15 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
     pair = out.pair = pairs.build_pair(p, c, config, previous, current, stage, stage)
     out.machine["pair"] = pair
     latest = pair.current_max_week
+    # what depends on the facts alone is asked for now and read where it is reported
+    report = source.typed(current, contract) if contract in shared else None
+    sides = [(s, source.typed(previous, s), source.typed(current, s)) for s in shared]
+    merges = relationships.replacements(p, c, pair, config, kept=kept).persist(StorageLevel.MEMORY_AND_DISK)
+    kept.append(merges)
+    merging = pool.submit(lambda: [r.asDict() for r in merges.orderBy("entity_type", "source_id", "target_id").limit(SHOWN).collect()])
+    tracing = pool.submit(checks.lineage, sides, pair, config, inner)
+    reconciling = pool.submit(checks.reconcile, c, report, config, pair.new_periods, contract == stage)
+    ranking = pool.submit(checks.hierarchy_checks, c, config)
     grains = {"base": config.base_keys, "headline": config.headline_keys, "week": [config.week_column]}
     for grain, keys in grains.items():
         if all(k in f.columns for k in keys for f in (p, c)):
@@ -135,9 +151,7 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
     events = lifecycle.all_events(p, c, pair, config, *dims).persist(StorageLevel.MEMORY_AND_DISK)
     kept.append(events)
     out.events = events
-    merges = relationships.replacements(p, c, pair, config).persist(StorageLevel.MEMORY_AND_DISK)
-    kept.append(merges)
-    out.replacements = [r.asDict() for r in merges.orderBy("entity_type", "source_id", "target_id").limit(SHOWN).collect()]
+    out.replacements = merging.result()
     approved = attribution.registry_frame(c.sparkSession, [e for e in registry if observed_by(e, observed_at)], config)
     matched = attribution.match_approvals(events, approved, config, latest).persist(StorageLevel.MEMORY_AND_DISK)
     kept.append(matched)
@@ -176,16 +190,15 @@ def _run(out: Result, source: CachedSource, config: DatasetConfig, previous: str
             if approval:
                 add(check, f"{r.entity_type}:{r.entity_id}:{r.classification}", "FAIL", approval_ids=(approval,))
 
-    report = source.typed(current, contract) if contract in shared else None
-    state, found, flags = checks.reconcile(c, report, config, pair.new_periods, contract == stage)
+    state, found, flags = reconciling.result()
     for x in found:
         add(f"reconciliation:{x.name}", name, {"SKIPPED": "UNAVAILABLE", "NOT_APPLICABLE": "SKIPPED"}.get(x.status, x.status), required=x.status != "NOT_APPLICABLE", detail=x.detail)
     audit = apply_expectations([{"metric": "dollar_per_unit", "week": f["week"], "ratio": f["ratio"]} for f in flags], expectations, name, observed_at, c.sparkSession)
     for f in audit["expected"] + audit["unexpected"]:
         add("ratio:dollar_per_unit", str(f["week"]), "FAIL", approval_ids=(f["explained_by"],) if "explained_by" in f else (), period=f["week"])
-    for x in checks.hierarchy_checks(c, config):
+    for x in ranking.result():
         add(x.name, x.name.split(":")[1], x.status, detail=x.detail)
-    trail = checks.lineage([(s, source.typed(previous, s), source.typed(current, s)) for s in shared], pair, config)
+    trail = tracing.result()
     add("lineage", name, "UNAVAILABLE" if trail["status"] == "UNKNOWN" else "PASS", required=False)
     if reference is not None and spec is not None:
         control = checks.compare_reference(report if report is not None else c, reference, spec, config)

@@ -450,8 +450,8 @@ def u4_weeks_gained_and_lost(previous, current):
 @query
 def u5_one_sided_entities(previous, current):
     p, columns = pair_of(previous, current), list(CONFIG.entity_columns)
-    side = lambda a, b, n: relationships.one_sided(a, b, columns, p, CONFIG).withColumn("side", F.lit(n))
-    return rounded(side(previous, current, "previous").unionByName(side(current, previous, "current")), v=6)
+    got = relationships.one_sided(previous, current, columns, p, CONFIG)
+    return rounded(got.withColumn("side", F.when(F.col("new"), F.lit("current")).otherwise(F.lit("previous"))).drop("new"), v=6)
 
 
 @query
