@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +15,11 @@ from snapwarden.config import DatasetConfig
 from snapwarden.operators.lifecycle import _entities, shared_entities
 from snapwarden.operators.pairs import VersionPair
 
+#: One-sided entities that are broadcast; with more of them, weekly sums of all entities are joined with them.
+FEW = 500_000
+#: Entities of a block, and those of it that are correlated with another block at a time.
+BLOCK, STRIP = 2048, 256
+
 
 def benjamini_hochberg(df: DataFrame, q: float, p: str = "p_value", keys: Sequence[str] = ()) -> DataFrame:
     """df with adjusted_p and significant; a family for each value of ``keys``. A null p-value is no test.
@@ -39,43 +47,88 @@ def benjamini_hochberg(df: DataFrame, q: float, p: str = "p_value", keys: Sequen
     return df.join(done, on, "left").drop(*[f"_k_{k}" for k in by]).withColumn("significant", F.coalesce(F.col("adjusted_p") <= q, F.lit(False)))
 
 
-def one_sided(previous: DataFrame, current: DataFrame, columns: list[str], pair: VersionPair, config: DatasetConfig) -> DataFrame:
-    """Active weeks and values of entities that only one version has: (entity_type, entity_id, new, week, v)."""
+def one_sided(previous: DataFrame, current: DataFrame, columns: list[str], pair: VersionPair, config: DatasetConfig, kept: list[DataFrame] | None = None) -> DataFrame:
+    """Active weeks and values of entities that only one version has: (entity_type, entity_id, new, week, v).
+
+    Which entities these are is found first. Up to FEW of them are broadcast, so that rows of all others go before anything
+    is summed or dealt out; more of them meet the sums by week in a join, with the same result.
+    """
     week, m = config.week_column, config.primary_metric
     side = lambda df, new: df.select(_entities(columns).alias("e"), F.col(week).alias("week"), F.col(m).alias("m"), F.lit(new).alias("new"))
     both = side(previous, False).unionByName(side(current, True)).select("e.entity_type", "e.entity_id", "new", "week", "m").where("entity_id is not null")
-    alone = both.groupBy("entity_type", "entity_id").agg(F.min("new").alias("least"), F.max("new").alias("most")).where("least = most")
-    weekly = both.where(pair.in_overlap(F.col("week"))).groupBy("entity_type", "entity_id", "new", "week").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("v")).where("v <> 0")
-    return weekly.join(alone, ["entity_type", "entity_id"], "left_semi")
+    alone = both.groupBy("entity_type", "entity_id").agg(F.min("new").alias("least"), F.max("new").alias("most")).where("least = most").select("entity_type", "entity_id")
+    alone = _once(alone, kept)
+    few = alone.limit(FEW + 1).count() <= FEW
+    rows = both.where(pair.in_overlap(F.col("week")))
+    if few:
+        rows = rows.join(F.broadcast(alone), ["entity_type", "entity_id"], "left_semi")
+    weekly = rows.groupBy("entity_type", "entity_id", "new", "week").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("v")).where("v <> 0")
+    return weekly if few else weekly.join(alone, ["entity_type", "entity_id"], "left_semi")
 
 
 def replacement_candidates(previous: DataFrame, current: DataFrame, pair: VersionPair, config: DatasetConfig, kept: list[DataFrame] | None = None) -> DataFrame:
     """(entity_type, source_id, target_id, correlation, ratio, active_weeks): correlated pairs of like volume.
 
     A pair's volumes differ by at most the ratio bounds, so entities meet only in steps of the volume's logarithm that these
-    bounds span, before any week is read; sums over the pair's common weeks then give the correlation of zero-filled
-    series. No cross join, no grid of weeks. With ``kept`` the weeks of one-sided entities are computed once and persisted;
-    the caller releases what is appended there.
+    bounds span. An entity is one row with its weeks and values. The entities of a step are dealt into blocks of some BLOCK
+    rows; a task lays a block of old and one of new entities out by week and correlates all their pairs by one product of
+    matrices, so only pairs that are found leave it: no row per pair and week is ever made. With ``kept`` what is read
+    twice is computed once and persisted; the caller releases what is appended there.
     """
-    columns, n = shared_entities(previous, current, config), len(pair.overlap_weeks)
+    columns = shared_entities(previous, current, config)
     low, high = config.relationship_ratio_bounds
-    moments = lambda d: d.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("active"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")).where((F.col("active") >= config.relationship_min_weeks) & (F.abs("s") > 1e-12))
-    alone = _once(one_sided(previous, current, columns, pair, config), kept)
-    old, new = alone.where("not new"), alone.where("new")
+    weekly = one_sided(previous, current, columns, pair, config, kept)
+    series = weekly.groupBy("entity_type", "entity_id", "new").agg(F.sum("v").alias("s"), F.collect_list(F.struct((F.col("week") - pair.overlap_start).cast("int").alias("at"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    series = series.where((F.size("cells") >= config.relationship_min_weeks) & (F.abs("s") > 1e-12))
     step = lambda x: F.floor(F.log2(F.abs(x))).cast("int")
-    a = moments(old).select("entity_type", F.col("entity_id").alias("source_id"), F.col("active").alias("ax"), F.col("s").alias("sx"), F.col("ss").alias("sxx"))
-    a = a.withColumn("step", F.explode(F.sequence(step(F.col("sx") * low), step(F.col("sx") * high))))
-    b = moments(new).select("entity_type", F.col("entity_id").alias("target_id"), F.col("active").alias("ay"), F.col("s").alias("sy"), F.col("ss").alias("syy"), step("s").alias("step"))
-    ratio = F.col("sy") / F.col("sx")
-    met = a.join(b, ["entity_type", "step"]).where(ratio.between(low, high)).drop("step")
-    x = old.select("entity_type", F.col("entity_id").alias("source_id"), "week", F.col("v").alias("x"))
-    y = new.select("entity_type", F.col("entity_id").alias("target_id"), "week", F.col("v").alias("y"))
-    common = met.join(x, ["entity_type", "source_id"]).join(y, ["entity_type", "target_id", "week"], "left")
-    pairs = common.groupBy("entity_type", "source_id", "target_id", "ax", "sx", "sxx", "ay", "sy", "syy").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("sxy"))
-    vx, vy = F.col("sxx") / n - (F.col("sx") / n) ** 2, F.col("syy") / n - (F.col("sy") / n) ** 2
-    corr = F.when((vx > 1e-24) & (vy > 1e-24), (F.col("sxy") / n - F.col("sx") * F.col("sy") / (n * n)) / F.sqrt(vx * vy))
-    out = pairs.select("entity_type", "source_id", "target_id", F.least(corr, F.lit(1.0)).alias("correlation"), ratio.alias("ratio"), F.least("ax", "ay").alias("active_weeks"))
-    return out.where(F.col("correlation") >= config.relationship_correlation_threshold)
+    steps = F.when(F.col("new"), F.array(step(F.col("s")))).otherwise(F.sequence(step(F.col("s") * low * (1 - 1e-9)), step(F.col("s") * high * (1 + 1e-9))))
+    stepped = _once(series.select("entity_type", "entity_id", "new", F.explode(steps).alias("step"), "cells.at", "cells.v"), kept)
+    blocks = lambda cond: F.ceil(F.count_if(cond) / BLOCK).cast("int")
+    sizes = stepped.groupBy("entity_type", "step").agg(blocks(~F.col("new")).alias("olds"), blocks(F.col("new")).alias("news")).where("olds > 0 and news > 0")
+    # One row for each entity type and step of the logarithm, so a bounded broadcast.
+    dealt = stepped.join(F.broadcast(sizes), ["entity_type", "step"])
+    own = F.pmod(F.xxhash64("entity_id"), F.when(F.col("new"), F.col("news")).otherwise(F.col("olds"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("new"), F.col("olds")).otherwise(F.col("news")) - 1)))
+    dealt = dealt.select("entity_type", "step", F.when(F.col("new"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("new"), F.col("own")).otherwise(F.col("other")).alias("j"), "new", "entity_id", "at", "v")
+    found = _correlated(len(pair.overlap_weeks), low, high, config.relationship_correlation_threshold)
+    return dealt.groupBy("entity_type", "step", "i", "j").applyInArrow(found, "entity_type string, source_id string, target_id string, correlation double, ratio double, active_weeks long")
+
+
+def _correlated(n: int, low: float, high: float, least: float):
+    """A block of old and one of new entities → their pairs with a ratio in bounds and at least that correlation over n weeks."""
+
+    def laid(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, sums, active weeks and which series vary, and the series by week, centred and of length 1."""
+        rows = rows.sort_by("entity_id").combine_chunks()  # rows come in any order, which must not show in the last digits
+        at, v = (rows[c].combine_chunks() for c in ("at", "v"))
+        lengths = at.value_lengths().to_numpy()
+        grid = np.zeros((rows.num_rows, n))
+        grid[np.repeat(np.arange(rows.num_rows), lengths), at.flatten().to_numpy()] = v.flatten().to_numpy()
+        sums = grid.sum(axis=1)
+        grid -= sums[:, None] / n
+        squares = np.einsum("ij,ij->i", grid, grid)
+        varies = squares / n > 1e-24
+        grid /= np.sqrt(np.where(varies, squares, 1.0))[:, None]
+        return rows["entity_id"].to_pylist(), sums, lengths, varies, grid
+
+    def run(rows: pa.Table) -> pa.Table:
+        new = rows["new"]
+        x_ids, sx, ax, fx, x = laid(rows.filter(pc.invert(new)))
+        y_ids, sy, ay, fy, y = laid(rows.filter(new))
+        a, b, corr, ratios = [], [], [], []
+        for k in range(0, len(x_ids), STRIP):
+            c, r = x[k : k + STRIP] @ y.T, sy[None, :] / sx[k : k + STRIP, None]
+            p, q = np.nonzero((c >= least) & (r >= low) & (r <= high) & fx[k : k + STRIP, None] & fy[None, :])
+            a.append(p + k)
+            b.append(q)
+            corr.append(np.minimum(c[p, q], 1.0))
+            ratios.append(r[p, q])
+        p, q = (np.concatenate([np.zeros(0, np.int64), *d]) for d in (a, b))
+        ids = lambda names, where: pa.array(names, pa.string()).take(pa.array(where))
+        columns = [pa.repeat(rows["entity_type"][0], len(p)), ids(x_ids, p), ids(y_ids, q), *(pa.array(np.concatenate([np.zeros(0), *d])) for d in (corr, ratios)), pa.array(np.minimum(ax[p], ay[q]).astype(np.int64))]
+        return pa.Table.from_arrays(columns, ["entity_type", "source_id", "target_id", "correlation", "ratio", "active_weeks"])
+
+    return run
 
 
 def _once(df: DataFrame, kept: list[DataFrame] | None) -> DataFrame:

@@ -179,7 +179,7 @@ def l5_reclassification(previous, current):
 
 @query
 def l6_replacements(previous, current):
-    got = relationships.replacements(previous, current, pair_of(previous, current), CONFIG)
+    got = relationships.replacements(previous, current, pair_of(previous, current), CONFIG, kept=[])
     return rounded(got, correlation=6, ratio=6, p_value=6, adjusted_p=6)
 
 

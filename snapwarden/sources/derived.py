@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from snapwarden.config import DatasetConfig
 
 LAST_WEEK = 357
+#: Stores that are broadcast to the lines.
+FEW = 500_000
 
 CONFIG = replace(
     DatasetConfig(), name="retail-weekly", metric_columns=("dollar", "units"), required_columns=("week", "dollar", "units"), snapshot_metrics=(), hierarchy_columns=(("state_id", "banner_id", "store_id"), ("commodity_id", "product_id")),
@@ -31,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def weekly_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(week, store, product keys and their parents, dollar, units), one row per week, store and product.
 
-    Lines are summed by their keys before the dimensions are joined, so the joins see one row per key."""
+    Lines are summed by their keys before the dimensions are joined, so the joins see one row per key. They are dealt out once,
+    by product, which serves the sums and the join with products; up to FEW stores are broadcast, more are joined by a shuffle."""
     week = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-02").cast("date")) / 7).cast("int") + 1
-    lines = table(spark, sf_dir, "lineitem").groupBy(week.alias("week"), F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("dollar"), F.sum("l_quantity").alias("units"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity").repartition("l_partkey").groupBy(week.alias("week"), F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("dollar"), F.sum("l_quantity").alias("units"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.col("p_type").alias("commodity_id"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("state_id"))
     store = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sk"), "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("sk", F.col("s_nationkey").cast("string").alias("banner_id"), "state_id")
-    return lines.join(part, "pk").join(store, "sk").select("week", "sk", "pk", F.col("sk").cast("string").alias("store_id"), F.col("pk").cast("string").alias("product_id"), "commodity_id", "banner_id", "state_id", "dollar", "units")
+    few = table(spark, sf_dir, "supplier").count() <= FEW
+    return lines.join(part, "pk").join(F.broadcast(store) if few else store, "sk").select("week", "sk", "pk", F.col("sk").cast("string").alias("store_id"), F.col("pk").cast("string").alias("product_id"), "commodity_id", "banner_id", "state_id", "dollar", "units")
 
 
 FACT = ("week", "store_id", "product_id", "commodity_id", "banner_id", "state_id", "dollar", "units")

@@ -145,6 +145,46 @@ def test_replacement(spark):
     assert relationships.replacements(p, small, pairs.build_pair(p, small, C), C).count() == 0
 
 
+def brute_replacements(p, c, n):
+    """Correlated pairs of gone and fresh stores over the weeks 1 to n, from all pairs."""
+    series = lambda df: {r.store_id: r.s for r in df.groupBy("store_id").agg(F.collect_list(F.struct("week", "dollar")).alias("s")).collect()}
+    old, new, want = series(p), series(c), {}
+    for a in set(old) - set(new):
+        for b in set(new) - set(old):
+            x, y = ([dict(s).get(w, 0.0) for w in range(1, n + 1)] for s in (old[a], [t for t in new[b] if t[0] <= n]))
+            mx, my = sum(x) / n, sum(y) / n
+            sxy, sxx, syy = (sum((u - mu) * (v - mv) for u, v in zip(d, e, strict=True)) for d, mu, e, mv in ((x, mx, y, my), (x, mx, x, mx), (y, my, y, my)))
+            if sxx > 1e-9 and syy > 1e-9 and sxy / (sxx * syy) ** 0.5 >= 0.9 and 0.5 <= sum(y) / sum(x) <= 2:
+                want[a, b] = (round(sxy / (sxx * syy) ** 0.5, 9), round(sum(y) / sum(x), 9), min(sum(map(bool, x)), sum(map(bool, y))))
+    return want
+
+
+@pytest.mark.parametrize("few,block", [(500_000, 2048), (500_000, 3), (0, 3)])
+def test_replacements_of_many_entities_make_no_row_per_pair_and_week(spark, monkeypatch, few, block):
+    """All pairs as by brute force, whatever the blocks and the way to one-sided entities; no operator gives out a row per pair and week."""
+    import random
+
+    monkeypatch.setattr(relationships, "FEW", few)
+    monkeypatch.setattr(relationships, "BLOCK", block)
+    rng, n = random.Random(4), 12
+    waves = [[rng.choice([0.0, rng.uniform(1, 30)]) for _ in range(n)] for _ in range(6)]
+    made = lambda kind, count: [(w + 1, f"{kind}{k}", v * (1 + k % 7 / 3.1), 1.0) for k in range(count) for w, v in enumerate(waves[k % 6]) if v]
+    both = [(w, "B", 50.0, 1.0) for w in range(1, n + 1)]
+    p, c = frame(spark, made("A", 40) + both), frame(spark, made("C", 50) + [(w, "flat", 9.0, 1.0) for w in range(1, n + 1)] + both + [(n + 1, "B", 50.0, 1.0)])
+    found = relationships.replacement_candidates(p, c, pairs.build_pair(p, c, C), C)
+    got = {(r.source_id, r.target_id): (round(r.correlation, 9), round(r.ratio, 9), r.active_weeks) for r in found.collect()}
+    assert got == brute_replacements(p, c, n) and len(got) > 100
+
+    def rows(plan):
+        """The most rows that an operator of the plan as it ran gave out."""
+        plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan.plan() if plan.nodeName().endswith("QueryStage") else plan
+        own = plan.metrics().get("numOutputRows")
+        children = plan.children()
+        return max([own.get().value() if own.isDefined() else 0, *(rows(children.apply(i)) for i in range(children.size()))])
+
+    assert rows(found._jdf.queryExecution().executedPlan()) < 40 * 50 * 2
+
+
 def test_erfc(spark):
     import math
 
