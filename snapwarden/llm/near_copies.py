@@ -1,11 +1,13 @@
-"""Near copies by the Jaccard similarity of word shingles: operator 7's pivot tables over the distance of shingle sets.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with pivot tables, then what lies beyond its bits.
 
-Pairs at similarity 0.8 differ in about 10 of 64 SimHash bits and some in far more. At such distances Hamming distances to
-references discard nothing, and no choice of bits is both selective and whole. The Jaccard distance is a metric too, so the
-same method works on it: distances to references are computed once, a pair whose distances to a reference differ by more
-than 1 - ``least`` can't be a link and is discarded, and what is left is verified on the shingle sets.
+The first candidates are those of operator 7: the SimHash of a text's set of shingles, and the pivot tables' links between
+fingerprints that differ in at most BITS bits. Such a pair can't be missed. But pairs at similarity 0.8 differ in about 10 of
+64 bits and some in far more; at such distances Hamming distances to references discard nothing, and no choice of bits is
+both selective and whole. The others therefore come from a second search. The Jaccard distance is a metric too, so pivot
+tables work on it: distances to references are computed once, a pair whose distances to a reference differ by more than
+1 - ``least`` can't be a link and is discarded. Whatever either search finds is verified on the shingle sets.
 
-Which sets are held against each other at all is told by minima of hashes: of BANDS bands with ROWS minima each a pair at
+Which sets the second search holds against each other is told by minima of hashes: of BANDS bands with ROWS minima each a pair at
 similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, which at 0.8 misses one pair in 20 million. The first set
 of a bucket is its reference. Sets near it are linked to it and need no more tests among themselves; only the others are
 held against the rest of the bucket. Before such a pair leaves the join its parity fingerprints are compared: every hash
@@ -25,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapwarden.llm.components import components
+from snapwarden.llm.simhash import fingerprint_links
 from snapwarden.llm.storage import arrow_batches, materialise, release
 from snapwarden.llm.words import byte_slices, text_array, tidied
 
 SEED = 42
+#: Differing bits of SimHash fingerprints up to which operator 7's pivot tables find the pairs.
+BITS = 3
 BANDS, ROWS = 32, 4
 #: Bits of a parity fingerprint; beyond some 800 shingles it discards little and pairs are verified instead.
 PARITY_BITS = 512
@@ -75,6 +80,18 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITY_BITS), axis=1, bitorder="little").view("<u8")
 
 
+def simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if over half of the set's hashes have it."""
+    out = np.zeros(len(sets), np.uint64)
+    for i, own in enumerate(sets):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(own), 1 << 14):
+            bits = np.unpackbits(own[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int32)
+        out[i] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
+    return out
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
@@ -89,7 +106,7 @@ def _sign(words: int, batch_bytes: int):
                 same = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets]
                 keys = pa.array(list(band_keys(sets).view(np.int64)), pa.list_(pa.int64()))
                 odd = pa.array(list(parities(sets).view(np.int64)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys, odd], ["row", "same", "size", "bands", "odd"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys, odd, pa.array(simhashes(sets).view(np.int64))], ["row", "same", "size", "bands", "odd", "fp"])
 
     return run
 
@@ -124,6 +141,15 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(tidied(_measure), "a long, b long, similarity double")
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """prints (node, fp), held in a table → pairs (a, b) of nodes, one for each link of a spanning set of what differs in at most BITS bits."""
+    firsts = materialise(prints.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    alike = prints.join(firsts, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    end = lambda name: firsts.select(F.col("fp").alias(f"{name}_fp"), F.col("first").alias(f"{name}_node"))
+    links = fingerprint_links(firsts.select("fp"), BITS).join(end("x"), F.col("a") == F.col("x_fp")).join(end("y"), F.col("b") == F.col("y_fp"))
+    return alike.unionByName(links.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")))
+
+
 def near_groups(rows: DataFrame, *, words: int = 5, least: float = 0.8, batch_bytes: int = 2 << 20) -> DataFrame:
     """rows (row long, unique; text), held in a table → (row, group): the smallest row that chains of links reach.
 
@@ -133,15 +159,17 @@ def near_groups(rows: DataFrame, *, words: int = 5, least: float = 0.8, batch_by
     """
     arrow_batches(rows.sparkSession)
     texts = rows.select("row", F.col("text").cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(tidied(_sign(words, batch_bytes)), "row long, same binary, size long, bands array<long>, odd array<long>"), "near-signed")
+    signed = materialise(texts.mapInArrow(tidied(_sign(words, batch_bytes)), "row long, same binary, size long, bands array<long>, odd array<long>, fp long"), "near-signed")
     nodes = materialise(signed.groupBy("same").agg(F.min("row").alias("node")), "near-nodes")
 
+    prints = materialise(signed.select("row", "fp").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "fp"), "near-fingerprints")
+    alike = materialise(simhash_pairs(prints).distinct(), "near-alike")
     banded = signed.select("row", "size", "bands").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "size", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(banded.join(heads, ["band", "key"]), "near-members")
-    wanted = members.select(F.col("node").alias("w")).distinct()
+    wanted = members.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node"))).select(F.col("node").alias("w")).distinct()
     sets = materialise(texts.join(wanted, F.col("row") == F.col("w"), "left_semi").mapInArrow(tidied(_sets(words, batch_bytes)), "row long, set binary"), "near-sets")
-    pairs = materialise(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "near-pairs")
+    pairs = materialise(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(alike).distinct(), "near-pairs")
     measured = materialise(_similarities(pairs, sets), "near-measured")
     near = measured.where(F.col("similarity") >= least - 1e-12).select("a", "b")
     roots = materialise(components(near), "near-roots")
@@ -153,8 +181,8 @@ def near_groups(rows: DataFrame, *, words: int = 5, least: float = 0.8, batch_by
     known = known.select("band", "key", "node", "size", "head", F.coalesce("root", "node").alias("root"), F.coalesce("hr", "head").alias("main"))
     apart = materialise(known.where("root <> main"), "near-apart")
     mixed = known.where("node <> head").join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
-    prints = signed.select(F.col("row").alias("pn"), "odd")
-    placed = lambda d: d.join(table, (F.col("node") == F.col("ma")) & (F.col("head") == F.col("mb"))).join(prints, F.col("node") == F.col("pn"))
+    parity = signed.select(F.col("row").alias("pn"), "odd")
+    placed = lambda d: d.join(table, (F.col("node") == F.col("ma")) & (F.col("head") == F.col("mb"))).join(parity, F.col("node") == F.col("pn"))
     x = placed(apart).select("band", "key", F.col("node").alias("b"), F.col("size").alias("bs"), F.col("root").alias("br"), F.col("distance").alias("bd"), F.col("odd").alias("bo"))
     y = placed(mixed).select("band", "key", F.col("node").alias("a"), F.col("size").alias("as"), F.col("root").alias("ar"), F.col("main").alias("am"), F.col("distance").alias("ad"), F.col("odd").alias("ao"))
     tried = y.join(x, ["band", "key"]).where((F.col("ar") != F.col("br")) & ((F.col("ar") == F.col("am")) | (F.col("a") < F.col("b"))))
@@ -166,6 +194,6 @@ def near_groups(rows: DataFrame, *, words: int = 5, least: float = 0.8, batch_by
     more = materialise(_similarities(others, sets), "near-more").where(F.col("similarity") >= least - 1e-12).select("a", "b")
     ends = components(near.unionByName(more))
     out = signed.select("row", "same").join(nodes, "same").join(ends.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("row", F.coalesce("root", "node").alias("group"))
-    for part in (members, apart, sets, pairs, others):
+    for part in (members, apart, sets, pairs, others, prints, alike):
         release(part)
     return out

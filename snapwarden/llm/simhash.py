@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapwarden.llm.components import components
-from snapwarden.llm.near_copies import near_groups
 from snapwarden.llm.storage import arrow_batches, materialise
 from snapwarden.llm.words import byte_slices, text_array, tidied
 
@@ -194,6 +193,13 @@ def bucketed(nodes: DataFrame, k: int, large: int = LARGE) -> DataFrame:
     return plain.join(full, own, "left_anti").unionByName(split)
 
 
+def fingerprint_links(nodes: DataFrame, k: int = 3, n_pivots: int = 32) -> DataFrame:
+    """nodes (fp long, distinct, held in a table) → (a, b): links that connect what chains of at most k differing bits connect."""
+    keys = ["choice", "bits", "part", "more"]
+    spread = bucketed(nodes, k).repartition(*keys).sortWithinPartitions(*keys)
+    return spread.mapInArrow(tidied(_bucket_links(k, n_pivots)), "a long, b long")
+
+
 def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, k: int = 3, n_pivots: int = 32, batch_bytes: int = 2 << 20) -> DataFrame:
     """Per input row: id, fingerprint (16 hex digits), component_id (smallest id that chains of links reach).
 
@@ -215,10 +221,7 @@ def simhash_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
     rows = materialise(docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(tidied(run), schema), "simhash-rows")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    keys = ["choice", "bits", "part", "more"]
-    spread = bucketed(nodes.select("fp"), k).repartition(*keys).sortWithinPartitions(*keys)
-    links = spread.mapInArrow(tidied(_bucket_links(k, n_pivots)), "a long, b long")
-    roots = components(links)
+    roots = components(fingerprint_links(nodes.select("fp"), k, n_pivots))
     grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
@@ -232,5 +235,7 @@ def near_duplicates(docs: DataFrame, rows: DataFrame, *, text_column: str = "tex
     near_copies for why the pivot tables then hold distances of shingle sets. Null, empty and blank texts are copies of one
     another; repeated rows and null ids are rows like any other; an empty table gives no rows.
     """
+    from snapwarden.llm.near_copies import near_groups  # which itself searches with this module's tables
+
     groups = near_groups(rows.select("row", F.col(f"doc.`{text_column}`").alias("text")), words=words, least=least)
     return rows.join(groups.where(F.col("row") == F.col("group")).select("row"), "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

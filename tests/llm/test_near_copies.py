@@ -105,3 +105,37 @@ def test_near_stage_keeps_one_row_of_a_group(spark, sf):
     got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted(r.text for r in got) == sorted({t for _, t in rows})
     assert corpus_pipeline.exact(spark, spark.createDataFrame([*rows, (2, "A b c d e f g")], "doc_id long, text string"), sf).count() == 4
+
+
+def test_near_stage_searches_by_simhash_and_verifies(spark, monkeypatch):
+    """The pairs that are verified include SimHash's: what chains of at most 3 differing bits connect, with no band's help."""
+    rng = random.Random(19)
+    docs = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(300)}" for _ in range(200)]
+        docs += [" ".join(x) for x in [base, edited(rng, base, 1), edited(rng, base, 2), edited(rng, base, 30)]]
+    sets = [np.sort(s) for s in near_copies.shingle_sets(near_copies.pa.array(docs), 5)]
+    prints = near_copies.simhashes(sets)
+    for s, fp in zip(sets, prints, strict=True):
+        assert int(fp) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    links = {(i, j) for i in range(len(docs)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= near_copies.BITS}
+    assert len(links) > 5
+    seen, measure = [], near_copies._similarities
+    monkeypatch.setattr(near_copies, "_similarities", lambda pairs, sets: seen.append({(r.a, r.b) for r in pairs.collect()}) or measure(pairs, sets))
+    rows = spark.createDataFrame([*enumerate(docs)], "row long, text string")
+    found = {(r.a, r.b) for r in near_copies.simhash_pairs(spark.createDataFrame([*enumerate(prints.view(np.int64).tolist())], "node long, fp long")).collect()}
+    got = {r["row"]: r["group"] for r in near_copies.near_groups(rows).collect()}
+
+    def joined(pairs):
+        root = list(range(len(docs)))
+        for i, j in sorted(pairs):
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    assert found <= links and joined(found) == joined(links)
+    assert found <= seen[0]
+    want, smallest = brute_groups([*enumerate(docs)]), {}
+    for i, g in enumerate(want):
+        smallest.setdefault(g, i)
+    assert got == {i: smallest[g] for i, g in enumerate(want)}
